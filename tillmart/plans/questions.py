@@ -79,10 +79,10 @@ def answer(star: Star, question: str) -> DataFrame:
     return TEMPLATES[name](star)
 
 
-def register_views(star: Star) -> None:
-    """Expose the five tables to SQL under their own names."""
+def register_views(star: Star, prefix: str = "") -> None:
+    """Expose the five tables to SQL."""
     for name, table in star.tables().items():
-        table.createOrReplaceTempView(name)
+        table.createOrReplaceTempView(prefix + name)
 
 
 def run_select(spark: SparkSession, sql: str, **params) -> tuple[DataFrame | None, str | None]:

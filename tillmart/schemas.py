@@ -94,7 +94,7 @@ ORDER_ITEMS = T.StructType([
     T.StructField("order_id", T.StringType()),
     T.StructField("product_id", T.StringType()),
     T.StructField("sales", AMOUNT),
-    T.StructField("quantity", T.IntegerType()),
+    T.StructField("quantity", T.LongType()),
     T.StructField("discount", AMOUNT),
     T.StructField("profit", AMOUNT),
 ])
