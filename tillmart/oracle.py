@@ -352,7 +352,10 @@ FROM (SELECT month, sales, LAG(sales) OVER (ORDER BY month) AS prev FROM months)
     ),
     "retention_summary": _star(
         "SELECT "
-        + ", ".join(f"COALESCE(AVG(retention_pct) FILTER (WHERE elapsed_quarters = {n}), 0) AS avg_q{n}_retention" for n in (1, 4))
+        + ", ".join(
+            f"COALESCE(CAST(SUM(CAST(retention_pct AS DECIMAL(18,2))) FILTER (WHERE elapsed_quarters = {n}) AS DOUBLE) "
+            f"/ COUNT(*) FILTER (WHERE elapsed_quarters = {n}), 0) AS avg_q{n}_retention" for n in (1, 4)
+        )
         + ", COUNT(DISTINCT cohort_quarter) AS total_cohorts FROM rates",
         _cohorts(_FULL_SCOPE),
     ),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillmart.functions.dates import quarter_index, quarter_label
-from tillmart.functions.numbers import percent
+from tillmart.functions.numbers import percent, ratio
 from tillmart.plans.star import EVERYTHING, Slice, Star
 
 ELAPSED_QUARTERS = 12
@@ -84,7 +84,7 @@ def retention_summary(star: Star, scope: Slice | None = EVERYTHING) -> DataFrame
     """Mean retention one and four quarters on, over the cohorts that have a figure, and the cohort count."""
 
     def mean_at(quarter: int):
-        pct = F.when(F.col("elapsed_quarters") == quarter, F.col("retention_pct").cast("double"))
-        return F.coalesce(F.avg(pct), F.lit(0.0)).alias(f"avg_q{quarter}_retention")
+        pct = F.when(F.col("elapsed_quarters") == quarter, F.col("retention_pct"))
+        return F.coalesce(ratio(F.sum(pct), F.count(pct)), F.lit(0.0)).alias(f"avg_q{quarter}_retention")
 
     return retention(star, scope).agg(mean_at(1), mean_at(4), F.count_distinct("cohort_quarter").alias("total_cohorts"))
