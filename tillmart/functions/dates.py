@@ -5,73 +5,63 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillmart.functions.text import strip
+from tillmart.functions.text import keep_if
 
-_TIME = r"(?:[T ]+(?:[01]?\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d\d:?\d\d)?)?"
+_TIME = r"[T\s]\s*(?:[01]?\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?(?:\s?[AaPp][Mm])?(?:Z|[+-]\d\d:?\d\d)?"
 _MONTH = (
-    r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
-    r"|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+    r"(Jan(?=uary\b|\b)|Feb(?=ruary\b|\b)|Mar(?=ch\b|\b)|Apr(?=il\b|\b)|May(?=\b)|Jun(?=e\b|\b)|Jul(?=y\b|\b)"
+    r"|Aug(?=ust\b|\b)|Sep(?=t\b|tember\b|\b)|Oct(?=ober\b|\b)|Nov(?=ember\b|\b)|Dec(?=ember\b|\b))[a-z]*"
+)
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
+# Layouts as steps towards year-month-day; a value that has got there meets no later pattern.
+# Numeric layouts with the year last are month first, unless the first number is no month.
+_NUMERIC_STEPS = (
+    (r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})-(\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{4})$", "$1-1-1"),
+    (r"^(\d{1,2}([-/.])\d{1,2}\2)([0-6]\d|7[0-5])$", "$120$3"),
+    (r"^(\d{1,2}([-/.])\d{1,2}\2)(\d{2})$", "$119$3"),
+    (r"^(0?[1-9]|1[0-2])([-/.])(\d{1,2})\2(\d{4})$", "$4-$1-$3"),
+    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+)
+# Layouts with a month name as steps towards day, short month name, year.
+_NAMED_STEPS = (
+    (rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})$", "$2 $1 $3"),
+    (rf"(?i)^(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}}|\d{{2}})$", "$1 $2 $3"),
+    (rf"(?i)^{_MONTH} (\d{{4}})$", "1 $1 $2"),
+    (r"^(\d{1,2} [A-Za-z]{3} )([0-6]\d|7[0-5])$", "$120$2"),
+    (r"^(\d{1,2} [A-Za-z]{3} )(\d{2})$", "$119$2"),
 )
-_YEAR_FIRST = rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$"
-_COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$"
-_YEAR_LAST = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$"
-_MONTH_DAY_YEAR = rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}}){_TIME}$"
-_DAY_MONTH_YEAR = rf"(?i)^(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}}|\d{{2}}){_TIME}$"
-_MONTH_YEAR = rf"(?i)^{_MONTH} (\d{{4}})$"
-_YEAR_MONTH = r"^(\d{4})-(\d{1,2})$"
-_YEAR = r"^(\d{4})$"
 
 # The days a nanosecond timestamp can hold; other years count as unparsable.
 FIRST_DAY = dt.date(1677, 9, 22)
 LAST_DAY = dt.date(2262, 4, 11)
 
-_MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
+def _rewrite(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
 
+def parse_date(text: Column) -> Column:
+    """Date in any of the accepted layouts, with or without a time of day, else null.
 
-def parse_date(text: Column, two_digit_limit: int = 75) -> Column:
-    """Date in any of the accepted layouts, else null.
-
-    The layout is picked by shape, so each value is matched against a few patterns and
-    cast once or twice, instead of running a date parser per layout. Numeric layouts with
-    the year last are read month first, and day first when that is no date. Two-digit
-    years up to ``two_digit_limit`` are 20yy, later ones 19yy.
+    Values in ISO form are cast at once. Others are rewritten step by step to one form
+    and cast once, so no value is tried against a date parser per layout. Two-digit
+    years are 2000 to 2075 and 1976 to 1999.
     """
-    value = strip(text)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(value, pattern, group)
-
-    def full_year(year: Column) -> Column:
-        short = F.when(year.try_cast("int") <= two_digit_limit, F.concat(F.lit("20"), year))
-        return F.when(F.length(year) == 4, year).otherwise(short.otherwise(F.concat(F.lit("19"), year)))
-
-    def month_number(name: Column) -> Column:
-        start = F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTH_STARTS))
-        return F.floor((start + 2) / 3)
-
-    year_last = full_year(part(_YEAR_LAST, 4))
-    first, second = part(_YEAR_LAST, 1), part(_YEAR_LAST, 3)
+    day = F.regexp_replace(text, rf"^[\s\p{{Z}}]+|(?:{_TIME})?[\s\p{{Z}}]*$", "")
+    numeric = F.regexp_extract(_rewrite(day, _NUMERIC_STEPS), _ISO, 0).try_cast("date")
+    named = F.regexp_extract(_rewrite(day, _NAMED_STEPS), r"^\d{1,2} [A-Za-z]{3} \d{4}$", 0)
     parsed = (
-        F.when(value.rlike(_YEAR_FIRST), _date(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 3), part(_YEAR_FIRST, 4)))
-        .when(value.rlike(_YEAR_LAST), F.coalesce(_date(year_last, first, second), _date(year_last, second, first)))
-        .when(value.rlike(_COMPACT), _date(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3)))
-        .when(
-            value.rlike(_MONTH_DAY_YEAR),
-            _date(part(_MONTH_DAY_YEAR, 3), month_number(part(_MONTH_DAY_YEAR, 1)), part(_MONTH_DAY_YEAR, 2)),
-        )
-        .when(
-            value.rlike(_DAY_MONTH_YEAR),
-            _date(full_year(part(_DAY_MONTH_YEAR, 3)), month_number(part(_DAY_MONTH_YEAR, 2)), part(_DAY_MONTH_YEAR, 1)),
-        )
-        .when(value.rlike(_MONTH_YEAR), _date(part(_MONTH_YEAR, 2), month_number(part(_MONTH_YEAR, 1)), F.lit("1")))
-        .when(value.rlike(_YEAR_MONTH), _date(part(_YEAR_MONTH, 1), part(_YEAR_MONTH, 2), F.lit("1")))
-        .when(value.rlike(_YEAR), _date(value, F.lit("1"), F.lit("1")))
+        F.when(text.rlike(_ISO), text.try_cast("date"))
+        .when(text.rlike("(?i)[a-z]{3}"), F.try_to_date(named, "d MMM yyyy"))
+        .otherwise(numeric)
     )
-    return F.when(parsed.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), parsed)
+    return keep_if(parsed, lambda date: date.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
 
 
 def month_label(date: Column) -> Column:
