@@ -14,9 +14,17 @@ from tillmart.operators.staging import stage
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition here
 
 
-def _add_offsets(staged: DataFrame, pieces: DataFrame, keys: list[str], order: Window, name: str, start: int) -> DataFrame:
+# Pieces are file splits or ranges: a few hundred thousand even for 100 TB. Up to this many
+# their offsets (a path and two numbers each) are broadcast; beyond it Spark joins by shuffle.
+BROADCAST_PIECES = 1_000_000
+
+
+def _add_offsets(staged: DataFrame, keys: list[str], order: Window, name: str, start: int) -> DataFrame:
+    pieces = staged.groupBy(*keys).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     rows_before = F.sum("_rows").over(order) - F.col("_rows")
-    offsets = pieces.select(*keys, (rows_before - F.col("_first") + F.lit(start)).alias("_offset"))
+    offsets = stage(pieces.select(*keys, (rows_before - F.col("_first") + F.lit(start)).alias("_offset")), "offsets")
+    if offsets.count() <= BROADCAST_PIECES:
+        offsets = F.broadcast(offsets)
     numbered = staged.join(offsets, keys).withColumn(name, F.col("_seq") + F.col("_offset"))
     return numbered.drop("_seq", "_offset")
 
@@ -29,8 +37,7 @@ def number_rows(rows: DataFrame, *order: str | Column, name: str = "row_id", sta
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     staged = stage(spread.withColumn("_seq", F.monotonically_increasing_id()), "numbered")
     staged = staged.withColumn("_piece", F.shiftright("_seq", _POSITION_BITS))
-    pieces = staged.groupBy("_piece").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    return _add_offsets(staged, pieces, ["_piece"], Window.orderBy("_piece"), name, start).drop("_piece")
+    return _add_offsets(staged, ["_piece"], Window.orderBy("_piece"), name, start).drop("_piece")
 
 
 def number_file_rows(rows: DataFrame, per_file: bool = False, name: str = "row_no") -> DataFrame:
@@ -40,6 +47,5 @@ def number_file_rows(rows: DataFrame, per_file: bool = False, name: str = "row_n
     """
     staged = stage(rows, "file")
     keys = ["_file", "_block"]
-    pieces = staged.groupBy(*keys).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     order = Window.partitionBy("_file").orderBy("_block") if per_file else Window.orderBy(*keys)
-    return _add_offsets(staged, pieces, keys, order, name, 1).drop("_block")
+    return _add_offsets(staged, keys, order, name, 1).drop("_block")

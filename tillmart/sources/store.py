@@ -18,6 +18,10 @@ from tillmart.sources.flat_file import write_csv
 COMMIT = "commit_key"
 LOG = "ingestion_log"
 
+# Up to this many commits their keys (about 50 bytes each) are broadcast; beyond it Spark
+# chooses the join and AQE splits its oversized partitions.
+BROADCAST_COMMITS = 500_000
+
 
 class StarStore:
     def __init__(self, spark: SparkSession, path: str):
@@ -39,18 +43,25 @@ class StarStore:
     def committed_batches(self) -> DataFrame:
         return self.log().select("batch_key").distinct()
 
-    def table(self, name: str) -> DataFrame:
-        """Committed rows. The log's keys prune the partitions that are read."""
-        rows = self._read(name, _with_commit(STAR_SCHEMAS[name]))
+    def _committed_keys(self) -> DataFrame:
+        """One short key per commit. A plain join would send the rows of a large commit to one task."""
         keys = self.log().select(COMMIT).distinct()
-        return rows.join(keys, COMMIT, "left_semi").drop(COMMIT)
+        return F.broadcast(keys) if keys.count() <= BROADCAST_COMMITS else keys
+
+    def _committed(self, name: str, keys: DataFrame) -> DataFrame:
+        """Committed rows. The keys also prune the partitions that are read."""
+        return self._read(name, _with_commit(STAR_SCHEMAS[name])).join(keys, COMMIT, "left_semi").drop(COMMIT)
+
+    def table(self, name: str) -> DataFrame:
+        return self._committed(name, self._committed_keys())
 
     def star(self) -> Star:
-        return Star(**{name: self.table(name) for name in STAR_SCHEMAS})
+        keys = self._committed_keys()
+        return Star(**{name: self._committed(name, keys) for name in STAR_SCHEMAS})
 
     def register(self, prefix: str = "") -> None:
-        for name in STAR_SCHEMAS:
-            self.table(name).createOrReplaceTempView(prefix + name)
+        for name, rows in self.star().tables().items():
+            rows.createOrReplaceTempView(prefix + name)
 
     def _append(self, rows: DataFrame, table: str, schema, commit_key: str) -> None:
         typed = rows.select(*[F.col(column.name).cast(column.dataType).alias(column.name) for column in schema])
@@ -72,8 +83,8 @@ class StarStore:
 
     def export_csv(self, folder: str) -> None:
         """Each table as a folder of CSV files, for tools that import them."""
-        for name in STAR_SCHEMAS:
-            write_csv(self.table(name), f"{folder}/cleaned_{name}")
+        for name, rows in self.star().tables().items():
+            write_csv(rows, f"{folder}/cleaned_{name}")
 
     def quarantine(self, rows: DataFrame, commit_key: str) -> str:
         """Cleaned rows of refused batches as CSV, for inspection."""
