@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -15,27 +16,20 @@ COLUMNS = (
 NAMES = [part.split()[0] for part in COLUMNS.split(", ")]
 
 
-def flat(spark, *rows):
-    base = dict.fromkeys(NAMES, None) | {
-        "order_id": "O1", "order_date": dt.date(2014, 1, 1), "ship_date": dt.date(2014, 1, 2), "ship_mode": "S", "customer_id": "C1",
-        "product_id": "P1", "city": "c", "state": "s", "country": "k", "postal_code": "p", "market": "m", "region": "r",
-    } | dict.fromkeys(("sales", "quantity", "discount", "profit", "shipping_cost"), 1)
-    built = [tuple((base | {"row_id": n} | row)[name] for name in NAMES) for n, row in enumerate(rows, start=1)]
-    # Shuffled on purpose: the order is in row_id, not in where a row lies.
-    return spark.createDataFrame([tuple(map(_decimal, row)) for row in built], COLUMNS).repartition(4, F.rand(1))
-
-
-def _decimal(value):
-    from decimal import Decimal
-
-    return Decimal(value) if isinstance(value, float) else value
+AMOUNTS = ("sales", "quantity", "discount", "profit", "shipping_cost")
 
 
 def typed(spark, *rows):
-    from decimal import Decimal
-
-    amounts = ("sales", "quantity", "discount", "profit", "shipping_cost")
-    return flat(spark, *[{k: Decimal(str(v)) if k in amounts else v for k, v in ({a: 1 for a in amounts} | row).items()} for row in rows])
+    """Flat rows with defaults, numbered as given. They are shuffled: the order is in row_id, not in where a row lies."""
+    base = dict.fromkeys(NAMES) | dict.fromkeys(AMOUNTS, 1) | {
+        "order_id": "O1", "order_date": dt.date(2014, 1, 1), "ship_date": dt.date(2014, 1, 2), "ship_mode": "S", "customer_id": "C1",
+        "product_id": "P1", "city": "c", "state": "s", "country": "k", "postal_code": "p", "market": "m", "region": "r",
+    }
+    built = []
+    for number, row in enumerate(rows, start=1):
+        values = base | {"row_id": number} | row
+        built.append(tuple(Decimal(str(values[name])) if name in AMOUNTS else values[name] for name in NAMES))
+    return spark.createDataFrame(built, COLUMNS).repartition(4, F.rand(1))
 
 
 def empty_star(spark):

@@ -1,0 +1,148 @@
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_DIR
+from tillmart.plans import cohorts, funnel, measures, overview, questions, rankings, trends
+from tillmart.plans.star import Slice, Star
+from tillmart.registry import QUERIES
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def empty(star):
+    return Star(**{name: rows.where("false") for name, rows in star.tables().items()})
+
+
+def test_totals_agree(star):
+    months = overview.monthly_trend(star)
+    kpis = overview.kpis(star).first()
+    assert months.agg(F.sum("sales")).first()[0] == kpis.revenue
+    assert overview.sales_by_category(star).agg(F.sum("sales")).first()[0] == kpis.revenue
+    running = trends.monthly_running_total(star).collect()
+    assert running[-1].running_total_sales == sum(row.monthly_sales for row in running)
+    assert abs(sum(row.pct for row in overview.category_share(star).collect()) - 100) < 1e-9
+
+
+def test_retention_starts_at_100(star):
+    rows = cohorts.retention(star).collect()
+    assert all(row.retention_pct == 100 and row.active_customers == row.cohort_size for row in rows if row.elapsed_quarters == 0)
+    assert cohorts.cohort_sizes(star).agg(F.sum("cohort_size")).first()[0] == star.orders.select("customer_id").distinct().count()
+
+
+def test_nothing_in_scope(star):
+    nothing = empty(star)
+    row = overview.kpis(nothing).first()
+    assert (row.revenue, row.orders, row.customers, row.margin_pct) == (0, 0, 0, 0.0)
+    assert funnel.funnel_summary(nothing).count() == 0
+    assert [row.visitor_count for row in funnel.estimated_funnel(nothing).collect()] == [0] * 5
+    summary = cohorts.retention_summary(nothing).first()
+    assert (summary.avg_q1_retention, summary.total_cohorts) == (0.0, 0)
+    row = measures.measures(nothing).first()
+    assert (row.order_count, row.profit_margin, row.average_order_value) == (0, 0.0, 0.0)
+
+
+def test_zero_revenue_gives_no_margin(star):
+    free = star.with_tables(order_items=star.order_items.withColumn("sales", F.col("sales") * 0))
+    assert overview.kpis(free).first().margin_pct == 0.0
+    assert rankings.top_customers(free).first().profit_margin_pct is None
+    assert trends.growth(free).orderBy(F.desc("revenue_month")).first().growth_percentage is None
+
+
+def test_orphans_are_in_the_measures_but_not_in_the_overview(star):
+    fewer = star.with_tables(customers=star.customers.where("customer_id % 10 <> 0"))
+    everyone = overview.kpis(star).first().revenue
+    assert overview.kpis(fewer).first().revenue < everyone
+    by_name = measures.measures(fewer, "customer_name")
+    assert by_name.where("customer_name is null").count() == 1
+    assert by_name.agg(F.sum("total_sales")).first()[0] == everyone
+
+
+@pytest.mark.parametrize("question, template", [
+    ("Who are the TOP 5 customers?", "best_customers"), ("sales in March 2014", "sales_of_month"),
+    ("the best selling product or best customers", "best_customers"), ("anything", "latest_days"), ("", "latest_days"),
+])
+def test_question_templates(spark, question, template):
+    assert spark.range(1).select(questions.template_of(F.lit(question))).first()[0] == template
+
+
+def test_a_question_is_answered(star):
+    assert questions.answer(star, "What is our top product?").columns == ["product_name", "quantity_sold", "total_sales"]
+
+
+def test_caller_sql_can_only_read(spark, star):
+    questions.register_views(star, "tp_")
+    rows, error = questions.run_select(spark, "SELECT count(*) AS n FROM tp_orders WHERE order_date >= :d", d="1997-01-01")
+    assert error is None and rows.first().n > 0
+    assert questions.run_select(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x -- note\n;")[1] is None
+    for text in ("DROP VIEW tp_orders", "CREATE TABLE t AS SELECT 1", "INSERT INTO tp_orders SELECT 1", "SELECT 1) t; DROP VIEW tp_orders; --", "SET a=1", "SELECT nope FROM tp_orders"):
+        rows, error = questions.run_select(spark, text)
+        assert rows is None and error
+    assert spark.catalog.tableExists("tp_orders")
+
+
+def test_year_filter_reaches_the_scan(star):
+    plan = plan_of(overview.kpis(star, Slice(year=1997)))
+    assert "o_orderdate" in plan and "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+def test_unused_parts_of_the_star_are_not_read(star):
+    plan = plan_of(trends.monthly_running_total(star))
+    assert "c_nationkey" not in plan and "l_tax" not in plan and "l_shipdate" not in plan
+    assert "p_retailprice" not in plan_of(overview.sales_by_category(star))
+
+
+SKIPPED_PLANS = {"bulk_load", "read_flat_csv", "merge_order_items", "merge_locations", "merge_orders", "generated_ids", "clean_batch", "generated_order_ids", "fact_order_items", "dim_orders", "dim_locations", "attach_location"}
+
+
+@pytest.mark.parametrize("name", [name for name in QUERIES if name not in SKIPPED_PLANS])
+def test_plans_have_no_python_and_no_cross_join(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "CollectLimit"):
+        assert operator not in plan
+
+
+def test_observed_funnel_against_a_loop(spark):
+    chance = random.Random(5)
+    kinds = ("view", "click", "signup", "purchase", "error")
+    events = [(n, chance.randint(0, 500), 1 if chance.random() < 0.4 else chance.randint(2, 40), chance.choice(kinds)) for n in range(1500)]
+    frame = spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string")
+    by_user = defaultdict(list)
+    for _, ts, user, kind in events:
+        by_user[user].append((ts, kind))
+    want = dict.fromkeys(kinds[:4], 0)
+    for seen in by_user.values():
+        reached = -1
+        for kind in kinds[:4]:
+            later = [ts for ts, other in seen if other == kind and ts > reached]
+            if not later:
+                break
+            reached = min(later)
+            want[kind] += 1
+    for salts in (1, 16):
+        assert {row.stage: row.users for row in funnel.observed_funnel(frame, salts=salts).collect()} == want
+
+
+def test_hot_keys_give_the_same_totals(spark, star):
+    """A third of the items in one order, of the orders with one customer, of the items with one product."""
+    items = star.order_items.withColumns({
+        "order_id": F.when(F.col("product_id") % 3 == 0, 1).otherwise(F.col("order_id")),
+        "product_id": F.when(F.col("order_id") % 3 == 0, 5).otherwise(F.col("product_id")),
+    })
+    orders = star.orders.withColumn("customer_id", F.when(F.col("order_id") % 3 == 0, 7).otherwise(F.col("customer_id")))
+    hot = star.with_tables(order_items=items, orders=orders)
+    total = items.agg(F.sum("sales")).first()[0]
+    assert overview.kpis(hot).first().revenue == total
+    assert overview.sales_by_category(hot).agg(F.sum("sales")).first()[0] == total
+    assert overview.monthly_trend(hot).agg(F.sum("sales")).first()[0] == total
+    assert measures.measures_by_category(hot).agg(F.sum("total_sales")).first()[0] == total
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert overview.kpis(hot).first().revenue == total
+        assert overview.sales_by_category(hot).agg(F.sum("sales")).first()[0] == total
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -30,6 +30,17 @@ class Submission:
     file_id: str | None = None
 
 
+def submissions(files: DataFrame) -> list[Submission]:
+    """Files listed by the binaryFile source, in path order. A file is known by its path and change time.
+
+    The caller bounds the number of files; their contents are not read.
+    """
+    key = F.sha2(F.concat_ws("|", "path", F.col("modificationTime").cast("string")), 256).alias("batch_key")
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    listed = files.select(key, "path", name, F.col("_metadata.file_path").alias("file_id")).orderBy("path")
+    return [Submission(**row.asDict()) for row in listed.collect()]
+
+
 def commit_key_of(batch_keys: list[str]) -> str:
     """The same files always give the same key, so a replay meets its own earlier attempt."""
     return hashlib.sha256("\n".join(sorted(batch_keys)).encode()).hexdigest()[:32]
@@ -57,8 +68,10 @@ def read_submissions(
     for header, members in by_header.items():
         raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], list(header)), per_file=True)
         keys = spark.createDataFrame([(m.file_id, m.batch_key) for m in members], "_file string, batch_key string")
+        # A file id that matches no submission is a mistake of the caller: fail, do not lose the rows.
+        known = F.coalesce("batch_key", F.raise_error(F.concat(F.lit("no submission for "), "_file")))
         try:
-            parts.append(clean_batch(raw.join(keys, "_file"), as_of).rows)
+            parts.append(clean_batch(raw.join(keys, "_file", "left").withColumn("batch_key", known), as_of).rows)
         except UnknownLayout as error:
             unreadable.update({m.batch_key: str(error) for m in members})
     return (reduce(DataFrame.unionByName, parts) if parts else None), unreadable
@@ -112,6 +125,7 @@ def settle(
     )
     decided = spark.createDataFrame(table, schema).select(*columns)
     commit_key = commit_key_of(keys)
+    store.discard(commit_key)
     log = store.log()
     entries = log_entries(decided, as_of, merge.highest(log, "batch_id"), order="place", filename="filename")
     actions = {row.action for row in decisions}
@@ -180,6 +194,7 @@ def bulk_load(store: StarStore, path: str, as_of: dt.datetime, export_folder: st
             F.lit(0).alias("rejected_rows"),
         )
         filename = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
+        store.discard("bulk")
         store.commit(normalise.normalise(flat), log_entries(entry, as_of, filename=filename), "bulk")
     if export_folder:
         store.export_csv(export_folder)

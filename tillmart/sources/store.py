@@ -68,14 +68,17 @@ class StarStore:
         writer = typed.withColumn(COMMIT, F.lit(commit_key)).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(COMMIT).parquet(f"{self.path}/{table}")
 
-    def commit(self, new: Star | None, log_entries: DataFrame, commit_key: str) -> None:
-        """Append the new rows, then the log rows that make them visible.
+    def discard(self, commit_key: str) -> None:
+        """Remove what an earlier, unfinished attempt left under the key.
 
-        What an earlier, unfinished attempt left under the key is removed first: the new
-        attempt may have no rows for a table, and an empty write replaces nothing.
+        To be called before the stored tables are read for a new attempt: that one may
+        have no rows for a table, and an empty write replaces nothing.
         """
         for name in (*STAR_SCHEMAS, LOG):
             remove_path(self.spark, f"{self.path}/{name}/{COMMIT}={commit_key}")
+
+    def commit(self, new: Star | None, log_entries: DataFrame, commit_key: str) -> None:
+        """Append the new rows, then the log rows that make them visible."""
         if new is not None:
             for name, rows in new.tables().items():
                 self._append(rows, name, STAR_SCHEMAS[name], commit_key)

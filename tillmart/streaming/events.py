@@ -13,7 +13,8 @@ def window_totals(events: DataFrame, width: str = "1 hour", lateness: str = "2 h
     holds one row per open window and type. Counts and sums combine before the shuffle.
     """
     if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+        # A watermark needs a timestamp with a time zone.
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (
         events.groupBy(F.window("ts", width), "event_type")
         .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast(AMOUNT)).alias("value"))

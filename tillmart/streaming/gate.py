@@ -4,10 +4,9 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillmart.operators.intake import Submission, ingest_files
+from tillmart.operators.intake import ingest_files, submissions
 from tillmart.sources.store import StarStore
 
 FILES_PER_TRIGGER = 500
@@ -39,14 +38,12 @@ def watch_folder(
         .option("pathGlobFilter", name_filter)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(inbox)
-        .select("path", "modificationTime", F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("filename"))
+        .select("path", "modificationTime", "_metadata")
     )
 
     def gate(files: DataFrame, _epoch: int) -> None:
-        key = F.sha2(F.concat_ws("|", "path", F.col("modificationTime").cast("string")), 256).alias("batch_key")
-        listed = files.select("path", "file_id", "filename", key).orderBy("path").collect()
-        submissions = [Submission(f.batch_key, f.path, f.filename, f.file_id) for f in listed]
-        if submissions:
-            ingest_files(store, submissions, clock(), on_review)
+        found = submissions(files)
+        if found:
+            ingest_files(store, found, clock(), on_review)
 
     return names.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
