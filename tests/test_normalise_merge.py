@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillmart.operators import merge, normalise
@@ -76,7 +77,9 @@ def test_merging_dimensions_twice_adds_nothing(spark):
     assert rows_of(first.orders.select("order_id", "location_id")) == [("O1", 1), ("O2", 2)]
 
 
-def test_stored_rows_win_and_new_places_follow_the_highest_id(spark):
+@pytest.mark.parametrize("limit", [merge.WINDOW_ROWS, 0])
+def test_stored_rows_win_and_new_places_follow_the_highest_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(merge, "WINDOW_ROWS", limit)
     stored = empty_star(spark).with_tables(
         customers=spark.createDataFrame([("C1", "kept", None)], STAR_SCHEMAS["customers"]),
         locations=spark.createDataFrame([(7, "k", "m", "r", "s", "c", "p"), (5, "k", "m", "r", "s", "c", "p")], STAR_SCHEMAS["locations"]),

@@ -7,14 +7,19 @@ row wins over any new one.
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillmart.operators import normalise
 from tillmart.operators.numbering import number_rows
+from tillmart.operators.staging import stage
 from tillmart.plans.star import Star
 from tillmart.schemas import LOCATION_KEY
 
 FALLBACK_LOCATION = 1
 
+# Up to this many new places are numbered by one task.
+WINDOW_ROWS = 100_000
+
 
 def not_stored(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Candidates whose key is not stored yet.
@@ -40,14 +45,24 @@ def new_products(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def place_ids(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new locations, id of every place in the batch). Plain equality: a place with a null is always new."""
+    """(new locations, id of every place in the batch). Plain equality: a place with a null is always new.
+
+    The batch's places are staged, as both results use them. New places are numbered by a
+    plain window while there are few, and without one beyond that.
+    """
     tuples = normalise.location_tuples(batch)
     keys = list(LOCATION_KEY)
     known = stored.join(tuples.select(*keys), keys).groupBy(*keys).agg(F.min("location_id").alias("location_id"))
-    fresh = tuples.join(known.select(*keys), keys, "left_anti")
+    places = stage(tuples.join(known, keys, "left"), "places")
+    fresh = places.where("location_id is null").drop("location_id")
     start = highest(stored, "location_id") + 1
-    new = number_rows(fresh, "first_row", name="location_id", start=start).select("location_id", *keys)
-    return new, known.select("location_id", *keys).unionByName(new)
+    if fresh.count() <= WINDOW_ROWS:
+        number = F.row_number().over(Window.orderBy("first_row")) + F.lit(start - 1)
+        numbered = fresh.withColumn("location_id", number.cast("bigint"))
+    else:
+        numbered = number_rows(fresh, "first_row", name="location_id", start=start)
+    new = numbered.select("location_id", *keys)
+    return new, places.where("location_id is not null").select("location_id", *keys).unionByName(new)
 
 
 def new_locations(batch: DataFrame, stored: DataFrame) -> DataFrame:
