@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR names the folder of test tables, BENCH_CPUS the local cores. Each query runs
-once to warm up and then BENCH_RUNS times; the median counts. The time is that of building
+BENCH_SF_DIR names the folder of test tables, BENCH_CPUS the local cores. All queries run
+once to warm up and then BENCH_RUNS times in turn; the median counts. The time is that of building
 the plan and of bringing the result to the driver.
 """
 
@@ -32,14 +32,13 @@ def main() -> None:
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=str(cpus), spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g")
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
-    for name in HEADLINE:
-        taken = []
-        for _ in range(runs + 1):
+    taken = {name: [] for name in HEADLINE}
+    for _ in range(runs + 1):
+        for name in HEADLINE:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).collect()
-            taken.append(time.perf_counter() - start)
-        seconds[name] = round(statistics.median(taken[1:]), 3)
+            taken[name].append(time.perf_counter() - start)
+    seconds = {name: round(statistics.median(times[1:]), 3) for name, times in taken.items()}
     print(json.dumps({
         "metric": "headline queries, warm median, total",
         "value": round(sum(seconds.values()), 3),

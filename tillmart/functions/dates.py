@@ -16,6 +16,10 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 # Layouts as steps towards year-month-day; a value that has got there meets no later pattern.
 # Numeric layouts with the year last are month first, unless the first number is no month.
+_YEAR_LAST_STEPS = (
+    (r"^(0?[1-9]|1[0-2])([-/.])(\d{1,2})\2(\d{4})$", "$4-$1-$3"),
+    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+)
 _NUMERIC_STEPS = (
     (r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
@@ -23,8 +27,7 @@ _NUMERIC_STEPS = (
     (r"^(\d{4})$", "$1-1-1"),
     (r"^(\d{1,2}([-/.])\d{1,2}\2)([0-6]\d|7[0-5])$", "$120$3"),
     (r"^(\d{1,2}([-/.])\d{1,2}\2)(\d{2})$", "$119$3"),
-    (r"^(0?[1-9]|1[0-2])([-/.])(\d{1,2})\2(\d{4})$", "$4-$1-$3"),
-    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+    *_YEAR_LAST_STEPS,
 )
 # Layouts with a month name as steps towards day, short month name, year.
 _NAMED_STEPS = (
@@ -49,15 +52,18 @@ def _rewrite(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
 def parse_date(text: Column) -> Column:
     """Date in any of the accepted layouts, with or without a time of day, else null.
 
-    Values in ISO form are cast at once. Others are rewritten step by step to one form
-    and cast once, so no value is tried against a date parser per layout. Two-digit
-    years are 2000 to 2075 and 1976 to 1999.
+    The common layouts are told by shape and need one or two rewrites. The others, and
+    values with a time, are rewritten step by step to one form and cast once, so no value
+    is tried against a date parser per layout. Two-digit years are 2000 to 2075 and 1976
+    to 1999.
     """
     day = F.regexp_replace(text, rf"^[\s\p{{Z}}]+|(?:{_TIME})?[\s\p{{Z}}]*$", "")
     numeric = F.regexp_extract(_rewrite(day, _NUMERIC_STEPS), _ISO, 0).try_cast("date")
     named = F.regexp_extract(_rewrite(day, _NAMED_STEPS), r"^\d{1,2} [A-Za-z]{3} \d{4}$", 0)
     parsed = (
         F.when(text.rlike(_ISO), text.try_cast("date"))
+        .when(text.rlike(r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"), _rewrite(text, _YEAR_LAST_STEPS).try_cast("date"))
+        .when(text.rlike(r"^\d{4}([/.])\d{1,2}\1\d{1,2}$"), F.translate(text, "/.", "--").try_cast("date"))
         .when(text.rlike("(?i)[a-z]{3}"), F.try_to_date(named, "d MMM yyyy"))
         .otherwise(numeric)
     )

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillmart.plans.star import Star
 from tillmart.schemas import STAR_SCHEMAS
@@ -20,14 +21,14 @@ from tillmart.schemas import STAR_SCHEMAS
 RESULT_COLUMNS = ("name", "desc", "count", "severity")
 
 
-def _references(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
+def _references(rows: DataFrame, columns: dict[int, str], key_type: T.DataType) -> DataFrame:
     """(check, key, 1, 0) for each checked column; one scan serves several checks."""
-    entries = [F.struct(F.lit(check).alias("check"), F.col(column).cast("string").alias("key")) for check, column in columns.items()]
+    entries = [F.struct(F.lit(check).alias("check"), F.col(column).cast(key_type).alias("key")) for check, column in columns.items()]
     return rows.select(F.inline(F.array(*entries))).select("check", "key", F.lit(1).alias("used"), F.lit(0).alias("held"))
 
 
-def _holders(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
-    return _references(rows, columns).select("check", "key", F.lit(0).alias("used"), F.lit(1).alias("held"))
+def _holders(rows: DataFrame, columns: dict[int, str], key_type: T.DataType) -> DataFrame:
+    return _references(rows, columns, key_type).select("check", "key", F.lit(0).alias("used"), F.lit(1).alias("held"))
 
 
 # Name, description, referring table, key column, referenced table.
@@ -50,11 +51,13 @@ def _runnable(star: Star) -> list[int]:
 def orphan_counts(star: Star, checks: list[int] | None = None) -> DataFrame:
     """(check, count) of the reference checks, in one grouping."""
     tables, referring, stacked = star.tables(), {}, []
-    for check in checks or list(ORPHAN_CHECKS):
-        _, _, child, key, parent = ORPHAN_CHECKS[check]
+    checked = [(check, *ORPHAN_CHECKS[check][2:]) for check in checks or ORPHAN_CHECKS]
+    types = {tables[name].schema[key].dataType for _, child, key, parent in checked for name in (child, parent)}
+    key_type = types.pop() if len(types) == 1 else T.StringType()
+    for check, child, key, parent in checked:
         referring.setdefault(child, {})[check] = key
-        stacked.append(_holders(tables[parent], {check: key}))
-    stacked += [_references(tables[child], columns) for child, columns in referring.items()]
+        stacked.append(_holders(tables[parent], {check: key}, key_type))
+    stacked += [_references(tables[child], columns, key_type) for child, columns in referring.items()]
     stacked = reduce(DataFrame.unionByName, stacked)
     per_key = stacked.groupBy("check", "key").agg(F.sum("used").alias("used"), F.max("held").alias("held"))
     known_null = F.max(F.when(F.col("key").isNull(), F.col("held")).otherwise(0))

@@ -64,10 +64,10 @@ def measures(star: Star, by: str | None = None, scope: Slice = EVERYTHING) -> Da
 def measures_by_category(star: Star) -> DataFrame:
     """Measures per product category. An item filter also restricts the orders counted.
 
-    Distinct (category, order) pairs are counted, so a large category spreads over all tasks.
+    Distinct (category, order) pairs are counted, so a large category spreads over all
+    tasks, and a large order is one row per category and input partition.
     """
-    lines = star.order_items.groupBy("order_id", "product_id").agg(*total("sales", "profit"))
-    named = lines.join(star.products.select("product_id", "category"), "product_id", "left")
+    named = star.order_items.join(star.products.select("product_id", "category"), "product_id", "left")
     pairs = named.groupBy("category", "order_id").agg(*total("sales", "profit"))
     known = star.orders.select("order_id", F.lit(1).alias("is_order"))
     sums = pairs.join(known, "order_id", "left").groupBy("category").agg(

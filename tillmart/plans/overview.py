@@ -65,11 +65,15 @@ def monthly_trend(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
 
 
 def product_totals(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
-    """Sums per product over the items in scope, with the product's columns."""
+    """Sums per product over the items in scope, with the product's columns.
+
+    Items meet their orders unsummed, as pairs of order and product hardly repeat. Should
+    one order hold a large share of the items, AQE splits its join partition: nothing
+    after the join relies on its partitioning. Products are joined after summing.
+    """
     orders = in_scope(scope.orders(star.orders).select("order_id", "customer_id", "location_id"), star, scope)
-    per_order = star.order_items.groupBy("order_id", "product_id").agg(*total("sales", "quantity"))
-    sums = per_order.join(orders.select("order_id"), "order_id").groupBy("product_id").agg(*total("sales", "quantity"))
-    return sums.join(star.products, "product_id")
+    items = star.order_items.join(orders.select("order_id"), "order_id")
+    return items.groupBy("product_id").agg(*total("sales", "quantity")).join(star.products, "product_id")
 
 
 def sales_by_category(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
