@@ -67,11 +67,12 @@ def test_places_are_numbered_by_first_appearance_and_nulls_are_equal(spark):
     assert rows_of(attached.select("row_id", "location_id")) == [(1, 1), (2, 2), (3, 3), (4, 2), (5, 1)]
 
 
-def test_merging_dimensions_twice_adds_nothing(spark):
+@pytest.mark.parametrize("batch_rows", [None, 2])
+def test_merging_dimensions_twice_adds_nothing(spark, batch_rows):
     batch = typed(spark, {}, {"customer_id": "C2", "product_id": "P2", "city": "d", "order_id": "O2"})
     first = merge.plan_merge(batch, empty_star(spark))
     stored = Star(**{name: spark.createDataFrame(rows.collect(), rows.schema) for name, rows in first.tables().items()})
-    second = merge.plan_merge(batch, stored)
+    second = merge.plan_merge(batch, stored, batch_rows)
     assert [second.tables()[name].count() for name in STAR_SCHEMAS] == [0, 0, 0, 0, 2]
     assert sorted(row.order_item_id for row in second.order_items.collect()) == [3, 4]
     assert rows_of(first.orders.select("order_id", "location_id")) == [("O1", 1), ("O2", 2)]

@@ -133,7 +133,7 @@ def settle(
     if "merge" in actions:
         taken = decided.where("action = 'merge'").select("batch_key", "rows_before")
         accepted = rows.join(taken, "batch_key").withColumn("row_id", F.col("rows_before") + F.col("row_no"))
-        new = merge.plan_merge(accepted, store.star())
+        new = merge.plan_merge(accepted, store.star(), batch_rows=first)
     if rows is not None and "reject" in actions:
         refused = _only(rows, decided, "reject").select("batch_key", *CANONICAL_COLUMNS)
         store.quarantine(refused, commit_key)

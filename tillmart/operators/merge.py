@@ -17,18 +17,27 @@ from tillmart.schemas import LOCATION_KEY
 
 FALLBACK_LOCATION = 1
 
+# A batch has at most as many keys as rows; up to this many rows its keys are broadcast.
+BROADCAST_ROWS = 1_000_000
+
 # Up to this many new places are numbered by one task.
 WINDOW_ROWS = 100_000
 
 
-def not_stored(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+def _keys_of(candidates: DataFrame, batch_rows: int | None, *key: str) -> DataFrame:
+    """The batch's keys, broadcast when the batch is known to be small."""
+    keys = candidates.select(*key)
+    return F.broadcast(keys) if batch_rows is not None and batch_rows <= BROADCAST_ROWS else keys
+
+
+def not_stored(candidates: DataFrame, stored: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
     """Candidates whose key is not stored yet.
 
-    The stored keys are first reduced to those in the batch. A batch is small beside
-    the store, so Spark broadcasts its keys (by measured size) and only scans the stored
-    key column, instead of shuffling every stored key to the anti join.
+    The stored keys are first reduced to those in the batch. For a small batch that only
+    scans the stored key column; an anti join alone would shuffle every stored key. For a
+    large or unknown one Spark picks the join.
     """
-    hits = stored.select(key).join(candidates.select(key), key, "left_semi")
+    hits = stored.select(key).join(_keys_of(candidates, batch_rows, key), key, "left_semi")
     return candidates.join(hits, key, "left_anti")
 
 
@@ -36,15 +45,15 @@ def highest(table: DataFrame, column: str) -> int:
     return table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
-def new_customers(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    return not_stored(normalise.customers(batch), stored, "customer_id")
+def new_customers(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    return not_stored(normalise.customers(batch), stored, "customer_id", batch_rows)
 
 
-def new_products(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    return not_stored(normalise.products(batch), stored, "product_id")
+def new_products(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    return not_stored(normalise.products(batch), stored, "product_id", batch_rows)
 
 
-def place_ids(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def place_ids(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new locations, id of every place in the batch). Plain equality: a place with a null is always new.
 
     The batch's places are staged, as both results use them. New places are numbered by a
@@ -52,7 +61,7 @@ def place_ids(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     """
     tuples = normalise.location_tuples(batch)
     keys = list(LOCATION_KEY)
-    known = stored.join(tuples.select(*keys), keys).groupBy(*keys).agg(F.min("location_id").alias("location_id"))
+    known = stored.join(_keys_of(tuples, batch_rows, *keys), keys).groupBy(*keys).agg(F.min("location_id").alias("location_id"))
     places = stage(tuples.join(known, keys, "left"), "places")
     fresh = places.where("location_id is null").drop("location_id")
     start = highest(stored, "location_id") + 1
@@ -69,10 +78,10 @@ def new_locations(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return place_ids(batch, stored)[0]
 
 
-def new_orders(batch: DataFrame, ids: DataFrame, stored: DataFrame) -> DataFrame:
+def new_orders(batch: DataFrame, ids: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Orders not stored yet. A place mixed from different rows may be unknown and falls back to id 1."""
     heads = normalise.order_heads(batch, *[normalise.first_value(name) for name in LOCATION_KEY])
-    located = normalise.attach_location(not_stored(heads, stored, "order_id"), ids)
+    located = normalise.attach_location(not_stored(heads, stored, "order_id", batch_rows), ids)
     return located.select(
         "order_id",
         *normalise.ORDER_COLUMNS,
@@ -87,13 +96,13 @@ def new_order_items(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return normalise.order_items(batch, start=highest(stored, "order_item_id") + 1)
 
 
-def plan_merge(batch: DataFrame, stored: Star) -> Star:
-    """The rows to append to each table."""
-    locations, ids = place_ids(batch, stored.locations)
+def plan_merge(batch: DataFrame, stored: Star, batch_rows: int | None = None) -> Star:
+    """The rows to append to each table. ``batch_rows``, where known, allows broadcasting the keys of a small batch."""
+    locations, ids = place_ids(batch, stored.locations, batch_rows)
     return Star(
-        customers=new_customers(batch, stored.customers),
-        products=new_products(batch, stored.products),
+        customers=new_customers(batch, stored.customers, batch_rows),
+        products=new_products(batch, stored.products, batch_rows),
         locations=locations,
-        orders=new_orders(batch, ids, stored.orders),
+        orders=new_orders(batch, ids, stored.orders, batch_rows),
         order_items=new_order_items(batch, stored.order_items),
     )
