@@ -11,7 +11,9 @@ SF_DIR = "/root/testdata/sf0.001"
 def make_session():
     from tillmart.session import build_session
 
-    spark = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session(
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__default__parallelism="2", spark__driver__memory="8g"
+    )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -29,7 +29,7 @@ def test_equal_rows_with_a_position_spread_over_ranges(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert numbered.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (30000, 1, 30000)
     largest = staged[0].groupBy(F.shiftright("_seq", 33)).count().agg(F.max("count")).first()[0]
-    assert largest < 8000
+    assert largest < 12000
 
 
 @pytest.mark.parametrize("limit", [numbering.BROADCAST_PIECES, 0])

@@ -159,6 +159,16 @@ def test_stream_logs_unreadable_and_empty_files(store, tmp_path):
     assert status == {"u.csv": ("Rejected", 0), "e.csv": ("Rejected", 0), "g.csv": ("Accepted", 2)}
 
 
+def test_files_beyond_one_pass_are_taken_in_turn(store, tmp_path, monkeypatch):
+    monkeypatch.setattr(intake, "FILES_PER_COMMIT", 1)
+    for name, text in (("a.csv", GOOD), ("b.csv", REORDERED)):
+        write(tmp_path / "in", name, text)
+    files = submissions(store.spark.read.format("binaryFile").load(str(tmp_path / "in")))
+    assert [row.action for row in ingest_files(store, files, AS_OF)] == ["merge", "merge"]
+    assert sorted(row.order_item_id for row in store.table("order_items").collect()) == [1, 2, 3]
+    assert store.log().select("commit_key").distinct().count() == 2
+
+
 def test_batch_keys_make_one_stable_commit_key():
     assert intake.commit_key_of(["a", "b"]) == intake.commit_key_of(["b", "a"]) != intake.commit_key_of(["a"])
 

@@ -20,6 +20,11 @@ from tillmart.sources.flat_file import read_flat_csv, read_header
 from tillmart.sources.store import StarStore
 
 
+# Files taken in one pass. Bounds what the driver holds and the tables of one row per file,
+# which are broadcast: a join by shuffle would send a large file to one task.
+FILES_PER_COMMIT = 500
+
+
 @dataclass(frozen=True)
 class Submission:
     """One uploaded file. ``file_id`` is its path as Spark reports it for a row."""
@@ -71,7 +76,7 @@ def read_submissions(
         # A file id that matches no submission is a mistake of the caller: fail, do not lose the rows.
         known = F.coalesce("batch_key", F.raise_error(F.concat(F.lit("no submission for "), "_file")))
         try:
-            parts.append(clean_batch(raw.join(keys, "_file", "left").withColumn("batch_key", known), as_of).rows)
+            parts.append(clean_batch(raw.join(F.broadcast(keys), "_file", "left").withColumn("batch_key", known), as_of).rows)
         except UnknownLayout as error:
             unreadable.update({m.batch_key: str(error) for m in members})
     return (reduce(DataFrame.unionByName, parts) if parts else None), unreadable
@@ -95,8 +100,9 @@ def _scores(rows: DataFrame | None, store: StarStore, keys: list[str], unreadabl
 
 
 def _only(rows: DataFrame, decisions: DataFrame, action: str) -> DataFrame:
-    """Rows of the batches with this action. The decisions are a local table of one row per file."""
-    return rows.join(decisions.where(F.col("action") == action).select("batch_key"), "batch_key", "left_semi")
+    """Rows of the batches with this action."""
+    keys = decisions.where(F.col("action") == action).select("batch_key")
+    return rows.join(F.broadcast(keys), "batch_key", "left_semi")
 
 
 def settle(
@@ -132,7 +138,7 @@ def settle(
     new = None
     if "merge" in actions:
         taken = decided.where("action = 'merge'").select("batch_key", "rows_before")
-        accepted = rows.join(taken, "batch_key").withColumn("row_id", F.col("rows_before") + F.col("row_no"))
+        accepted = rows.join(F.broadcast(taken), "batch_key").withColumn("row_id", F.col("rows_before") + F.col("row_no"))
         new = merge.plan_merge(accepted, store.star(), batch_rows=first)
     if rows is not None and "reject" in actions:
         refused = _only(rows, decided, "reject").select("batch_key", *CANONICAL_COLUMNS)
@@ -160,14 +166,20 @@ def ingest_file(
 
 
 def ingest_files(store: StarStore, submissions: list[Submission], as_of: dt.datetime, on_review: str = "hold") -> list[Row]:
-    """Gate many files together; files already logged are skipped. Earlier files win over later ones."""
-    logged = _logged(store, [submission.batch_key for submission in submissions])
-    fresh = [submission for submission in submissions if submission.batch_key not in logged]
-    if not fresh:
-        return []
-    with staging_scope(store.spark):
-        rows, unreadable = read_submissions(store, fresh, as_of)
-        return settle(store, rows, fresh, unreadable, as_of, on_review)
+    """Gate many files, up to ``FILES_PER_COMMIT`` in one pass; files already logged are skipped.
+
+    Earlier files win over later ones.
+    """
+    decisions = []
+    for start in range(0, len(submissions), FILES_PER_COMMIT):
+        part = submissions[start : start + FILES_PER_COMMIT]
+        logged = _logged(store, [submission.batch_key for submission in part])
+        fresh = [submission for submission in part if submission.batch_key not in logged]
+        if fresh:
+            with staging_scope(store.spark):
+                rows, unreadable = read_submissions(store, fresh, as_of)
+                decisions += settle(store, rows, fresh, unreadable, as_of, on_review)
+    return decisions
 
 
 def _logged(store: StarStore, keys: list[str]) -> set[str]:

@@ -6,12 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tillmart.operators.intake import ingest_files, submissions
+from tillmart.operators.intake import FILES_PER_COMMIT, ingest_files, submissions
 from tillmart.sources.store import StarStore
 
-FILES_PER_TRIGGER = 500
-
-
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -21,7 +18,7 @@ def watch_folder(
     inbox: str,
     checkpoint: str,
     on_review: str = "hold",
-    files_per_trigger: int = FILES_PER_TRIGGER,
+    files_per_trigger: int = FILES_PER_COMMIT,
     clock: Callable[[], dt.datetime] = _now,
     name_filter: str = "*.csv",
 ) -> StreamingQuery:
