@@ -193,7 +193,8 @@ def _gate(select: str) -> str:
         select,
         _FAULTY,
         f"counted AS (SELECT batch_key, COUNT(*) AS row_count, {counts} FROM faulty GROUP BY 1)",
-        f"scored AS (SELECT *, ROUND(GREATEST(0, 1 - ({flagged})::DOUBLE / row_count) * 100, 1) AS health_score FROM counted)",
+        # Printed to one decimal, a double is rounded by its exact binary value, ties to even, as in Python.
+        f"scored AS (SELECT *, CAST(format('{{:.1f}}', GREATEST(0, 1 - ({flagged})::DOUBLE / row_count) * 100) AS DOUBLE) AS health_score FROM counted)",
         "judged AS (SELECT *, CASE WHEN health_score >= 80 THEN 'Accepted' WHEN health_score >= 50 THEN 'Needs Review' ELSE 'Rejected' END AS status, row_number() OVER (ORDER BY batch_key) AS batch_id FROM scored)",
         f"issue AS ({long})",
     )
