@@ -7,6 +7,7 @@ rather than an RDD checkpoint because its readers need different columns.
 
 import contextlib
 import contextvars
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only on a local master without the setting."""
+    """The folder named by the session; a temporary one only without the setting and with executors inside the driver."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="tillmart-")
     spark.conf.set(_SETTING, folder)
