@@ -34,24 +34,24 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows = simhash.near_duplicates(docs)
     found = stage(rows.select("doc_id", "component_id").distinct(), "components")
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    ids = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated"))
-    ids = stage(ids, "repeated-ids")
+    rows = docs.select(F.struct("*").alias("doc"))  # so that no column name can clash
+    kept = rows.join(stays, F.col("doc.doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    ids = stage(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated")), "repeated-ids")
     if ids.isEmpty():
-        return kept
+        return kept.select("doc.*")
     # Rows that repeat an id: one of them, the least by its columns.
-    again = F.col("doc_id").eqNullSafe(F.col("repeated"))
-    single = kept.join(ids, again, "left_anti")
-    order = F.struct(*(F.struct(F.col(name).isNull(), F.col(name)) for name in docs.columns))
-    one = kept.join(ids, again, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("doc")).select("doc.*")
-    return single.unionByName(one)
+    again = F.col("doc.doc_id").eqNullSafe(F.col("repeated"))
+    order = F.struct(*(F.struct(F.col(f"doc.{name}").isNull().alias("none"), F.col(f"doc.{name}").alias("value")) for name in docs.columns))
+    one = kept.join(ids, again, "left_semi").groupBy("doc.doc_id").agg(F.min_by("doc", order).alias("doc"))
+    return kept.join(ids, again, "left_anti").unionByName(one.select("doc")).select("doc.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
     rows = decontamination.contaminated_spans(docs, table(spark, sf_dir, "benchmark"))
     leaks = stage(rows.where(F.size("spans") > 0).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(leaks, F.col("doc.doc_id").eqNullSafe(F.col("leak")), "left_anti").select("doc.*")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
