@@ -55,7 +55,8 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_documents:
     places = docs.select(_digest(text).alias("text_key"), F.posexplode(_line_hashes(F.col(text_col), min_chars)).alias("pos", "h"))
     # Only rare lines differ between rows; the semi join keeps the places that go.
     gone = stage(places.where("h IS NOT NULL").join(frequent, "h", "left_semi").select("text_key", "pos"), "dropped-places")
-    gone = gone.groupBy("text_key").agg(F.collect_set("pos").alias("gone"))
+    # Written before the join, so that the join's own shuffle of a text with very many copies can be split.
+    gone = stage(gone.groupBy("text_key").agg(F.collect_set("pos").alias("gone")), "dropped-by-text")
 
     rows = docs.select(F.struct("*").alias("doc"), _digest(text).alias("text_key"))
     rows = rows.join(gone, "text_key", "left").select("doc", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
