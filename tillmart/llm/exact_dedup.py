@@ -114,7 +114,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = rows.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first")
     )
-    groups = groups.select("level", "name", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    # Written before the join, so that the join's own shuffle of a group with very many rows can be split.
+    groups = stage(groups.select("level", "name", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")), "groups")
     return rows.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
