@@ -27,7 +27,7 @@ from tillmart.llm.common import ready_workers
 #: Characters of text taken at a time, cut before white space, so that a very long text needs bounded memory.
 CHUNK_CHARS = 1 << 20
 #: Pieces remembered by a worker; the longest words merged side by side, and the leaves of their trees in all.
-REMEMBERED, SIDE_BY_SIDE, TREE_CELLS = 400_000, 64, 1 << 18
+REMEMBERED, SIDE_BY_SIDE, TREE_CELLS = 250_000, 64, 1 << 18
 NEVER = np.int64(1 << 62)
 
 #: Fixed value: white space as byte-level split patterns know it (Unicode White_Space).

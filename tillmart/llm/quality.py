@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,13 +190,12 @@ def scores(docs: DataFrame, model: Model | float, text_col: str = "text") -> Dat
     Null and empty texts have one empty passage. Repeated rows get equal scores, an empty table
     gives an empty result, and the columns of docs stay inside `doc`, so no name can clash.
     """
-    ready_workers(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("doc"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
-    return _scored(rows, "doc", model)
+    return _scored(docs.select(F.struct("*").alias("doc")), "doc", model, docs.columns.index(text_col))
 
 
-def _scored(rows: DataFrame, carried: str, model: Model | float) -> DataFrame:
-    """Rows of the carried column and `data`; the carried column passes through the workers untouched."""
+def _scored(rows: DataFrame, carried: str, model: Model | float, field: int | None = None) -> DataFrame:
+    """The carried column passes through the workers untouched; the text is its given field, or the column `data`."""
+    ready_workers(rows.sparkSession)
     result_type = T.StructType([T.StructField(carried, rows.schema[carried].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
     empty = np.zeros((1, KINDS + GRAMS), np.float32)
 
@@ -207,7 +207,8 @@ def _scored(rows: DataFrame, carried: str, model: Model | float) -> DataFrame:
                 result = np.full(count, model)
             else:
                 sums, weights = np.zeros((count, HIDDEN)), np.zeros(count)
-                for some, texts in portions(batch.column(1)):
+                texts = batch.column(1) if field is None else pc.struct_field(batch.column(0), field)
+                for some, texts in portions(texts.cast(pa.binary())):
                     features, bag = passages(texts)
                     hidden, power = model.weighed(features)
                     owner = np.array(some)[bag]
@@ -222,11 +223,10 @@ def _scored(rows: DataFrame, carried: str, model: Model | float) -> DataFrame:
                 [batch.column(0), pa.array(result, pa.float64()), pa.array(np.maximum(number, 1), pa.int64())], [carried, "score", "n_passages"]
             )
 
-    return rows.select(carried, "data").mapInArrow(run, result_type)
+    return rows.mapInArrow(run, result_type)
 
 
 def score_ids(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As scores, with the id alone in the place of the whole row."""
-    ready_workers(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("data"))
     return _scored(rows, "id", model).withColumnRenamed("id", id_col)
