@@ -72,3 +72,9 @@ def test_unknown_layout(spark):
 def test_empty_batch(spark):
     batch = clean_batch(spark.createDataFrame([], "sales string, row_no long"), AS_OF)
     assert batch.rows.count() == 0
+
+
+def test_a_repeated_header_counts_once():
+    mapping = map_columns(["Order ID", "sales", "sales", "Quantity", "quantity"])
+    assert mapping.sources == {"order_id": 0, "sales": 1, "quantity": 4}
+    assert mapping.unmapped == ["sales"]

@@ -187,3 +187,82 @@ def test_windows_on_a_stream_equal_the_batch(spark, tmp_path):
 
     assert as_rows(spark.table("win")) == as_rows(window_totals(events))
     assert window_totals(events).agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_bulk_load_replaces_everything(store, tmp_path, monkeypatch):
+    header = "Order ID,Order Date,Ship Date,Ship Mode,Customer ID,Customer Name,Segment,Product ID,Product Name,Category,Sub-Category,City,State,Country,Postal Code,Market,Region,Sales,Quantity,Discount,Profit,Shipping Cost,Order Priority\n"
+
+    def line(order, customer, sales):
+        return f"{order},2015-01-02,2015-01-03,Std,{customer},Ann,Home,P1,Pen,Office,Pens,Rome,RM,Italy,1,EU,South,{sales},1,0,1,1,High\n"
+
+    first, second = (write(tmp_path, name, header + text) for name, text in (("a.csv", line("B1", "C1", 100)), ("b.csv", line("B2", "C2", 50) + line("B3", "C2", 7))))
+    bulk_load(store, first, AS_OF)
+    ingest_file(store, write(tmp_path, "good.csv", GOOD), AS_OF)
+    before = content(store)
+
+    def fail(*_):
+        raise RuntimeError("disk full")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(StarStore, "_append", fail)
+        with pytest.raises(RuntimeError):
+            bulk_load(store, second, AS_OF)
+    assert content(store) == before
+    bulk_load(store, second, AS_OF)
+    fresh = StarStore(store.spark, str(tmp_path / "fresh"))
+    bulk_load(fresh, second, AS_OF)
+    assert content(store) == content(fresh)
+    items = store.table("order_items").collect()
+    assert sorted(row.order_item_id for row in items) == [1, 2] and sum(row.sales for row in items) == 57
+    assert [row.batch_id for row in store.log().orderBy("batch_id").collect()] == [1, 2, 3]
+    assert len(os.listdir(tmp_path / "store" / "customers")) <= 3
+    ingest_file(store, write(tmp_path, "more.csv", GOOD), AS_OF)
+    assert store.table("order_items").count() == 4
+
+
+def test_a_logged_commit_cannot_be_discarded(store, tmp_path):
+    ingest_file(store, write(tmp_path, "good.csv", GOOD), AS_OF)
+    with pytest.raises(ValueError):
+        store.discard(store.log().first().commit_key)
+    assert store.table("order_items").count() == 2
+
+
+def test_lines_that_are_too_wide_refuse_the_file(store, tmp_path):
+    wide = write(tmp_path, "wide.csv", "Order ID,sales,quantity\nO1,2,3\nO2,1,234,5\n")
+    decision = ingest_file(store, wide, AS_OF)
+    assert (decision.status, decision.action) == ("Rejected", "reject")
+    paths = [wide, write(tmp_path, "fine.csv", "Order ID,sales,quantity\nO3,2,3\n")]
+    found = [Submission(f"k{n}", path, path, f"file:{path}") for n, path in enumerate(paths)]
+    assert [row.status for row in ingest_files(store, found, AS_OF)] == ["Rejected", "Accepted"]
+    assert [row.order_id for row in store.table("order_items").collect()] == ["O3"]
+    with pytest.raises(intake.UnknownLayout):
+        bulk_load(store, wide, AS_OF)
+
+
+def test_line_breaks_in_quotes(store, tmp_path):
+    path = write(tmp_path, "quoted.csv", 'Order ID,Customer Name,sales,quantity\nO1,"Ann\nLee",10,1\n')
+    assert ingest_file(store, path, AS_OF, multi_line=True).status == "Accepted"
+    assert [row.customer_name for row in store.table("customers").collect()] == ["Ann\nLee"]
+
+
+def test_an_unreadable_file_is_logged(store, tmp_path):
+    assert ingest_file(store, write(tmp_path, "odd.csv", "foo,bar\n1,2\n"), AS_OF).status == "Rejected"
+    assert ingest_file(store, write(tmp_path, "none.csv", ""), AS_OF).status == "Rejected"
+    assert store.log().count() == 2
+
+
+def test_submission_time_is_utc(spark):
+    from tillmart.operators.batch_log import log_entries
+    from tillmart.schemas import ISSUE
+
+    row = spark.createDataFrame([("k", 1, [], 100.0, "Accepted", 1, 0)], f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint")
+    import time
+
+    zone = os.environ.get("TZ")
+    os.environ["TZ"] = "America/New_York"
+    time.tzset()
+    try:
+        assert log_entries(row, AS_OF).select(F.col("submitted_at").cast("string")).first()[0] == "2020-01-02 03:04:05"
+    finally:
+        os.environ.pop("TZ") if zone is None else os.environ.update(TZ=zone)
+        time.tzset()

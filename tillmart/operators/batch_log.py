@@ -24,7 +24,7 @@ def log_entries(
     The number is a label given by the single writer; ``batch_key`` identifies the batch.
     """
     number = F.row_number().over(Window.orderBy(order)) + F.lit(last_batch_id)
-    when = submitted_at if isinstance(submitted_at, Column) else F.lit(submitted_at)
+    when = submitted_at if isinstance(submitted_at, Column) else F.lit(_in_utc(submitted_at))
     values = {
         "batch_id": number,
         "submitted_at": when,
@@ -36,6 +36,11 @@ def log_entries(
     ])
 
 
+def _in_utc(moment: dt.datetime) -> dt.datetime:
+    """A time without zone means UTC; as a literal it would be read in the driver's zone."""
+    return moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
+
+
 def history(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """Newest submissions first."""
     return log.orderBy(F.desc("batch_id")).limit(limit)

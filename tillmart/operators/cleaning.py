@@ -39,15 +39,23 @@ class ColumnMapping:
 
 
 def map_columns(header: list[str]) -> ColumnMapping:
-    """Match header names, trimmed and in lower case, with the alias lists; of equal names the last counts."""
-    found = {name.strip().lower(): position for position, name in enumerate(header)}
+    """Match header names, trimmed and in lower case, with the alias lists.
+
+    Of a name that is repeated as it is written the first counts; of names that differ in
+    case only, the last. The others are unmapped.
+    """
+    written: dict[str, int] = {}
+    for position, name in enumerate(header):
+        written.setdefault(name, position)
+    found = {name.strip().lower(): position for name, position in written.items()}
     sources = {}
     for canonical, aliases in COLUMN_ALIASES.items():
         hit = next((alias for alias in aliases if alias in found), None)
         if hit is not None:
             sources[canonical] = found[hit]
     used = set(sources.values())
-    unmapped = [header[position] for position in sorted(found.values()) if position not in used]
+    again = [position for position, name in enumerate(header) if written[name] != position]
+    unmapped = [header[position] for position in sorted([*found.values(), *again]) if position not in used]
     return ColumnMapping(list(header), sources, unmapped)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +18,7 @@ from tillmart.operators.numbering import number_file_rows
 from tillmart.operators.staging import staging_scope
 from tillmart.schemas import CANONICAL_COLUMNS, ISSUE
 from tillmart.sources.flat_file import read_flat_csv, read_header
-from tillmart.sources.store import StarStore
+from tillmart.sources.store import BULK, StarStore
 
 
 # Files taken in one pass. Bounds what the driver holds and the tables of one row per file,
@@ -25,6 +26,11 @@ from tillmart.sources.store import StarStore
 FILES_PER_COMMIT = 500
 
 
+# A line with more fields than the header has columns: nobody can tell which field is which.
+BEYOND = "_beyond IS NOT NULL"
+TOO_WIDE = "a line has more fields than the header has columns"
+
+
 @dataclass(frozen=True)
 class Submission:
     """One uploaded file. ``file_id`` is its path as Spark reports it for a row."""
@@ -51,14 +57,16 @@ def commit_key_of(batch_keys: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(batch_keys)).encode()).hexdigest()[:32]
 
 
-def read_submission(store: StarStore, submission: Submission, as_of: dt.datetime) -> CleanBatch:
+def read_submission(store: StarStore, submission: Submission, as_of: dt.datetime, multi_line: bool = False) -> CleanBatch:
     """Cleaned rows of one file, or of one folder of parts with a common header."""
-    raw = number_file_rows(read_flat_csv(store.spark, submission.path))
+    raw = number_file_rows(read_flat_csv(store.spark, submission.path, multi_line=multi_line))
+    if not raw.where(BEYOND).isEmpty():
+        raise UnknownLayout(TOO_WIDE)
     return clean_batch(raw.withColumn("batch_key", F.lit(submission.batch_key)), as_of)
 
 
 def read_submissions(
-    store: StarStore, submissions: list[Submission], as_of: dt.datetime
+    store: StarStore, submissions: list[Submission], as_of: dt.datetime, multi_line: bool = False
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """(cleaned rows of all files, reasons of files that cannot be mapped).
 
@@ -68,15 +76,18 @@ def read_submissions(
     spark = store.spark
     by_header = defaultdict(list)
     for submission in submissions:
-        by_header[tuple(read_header(spark, submission.path))].append(submission)
+        by_header[tuple(read_header(spark, submission.path, multi_line))].append(submission)
     parts, unreadable = [], {}
     for header, members in by_header.items():
-        raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], list(header)), per_file=True)
+        raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], list(header), multi_line), per_file=True)
         keys = spark.createDataFrame([(m.file_id, m.batch_key) for m in members], "_file string, batch_key string")
         # A file id that matches no submission is a mistake of the caller: fail, do not lose the rows.
         known = F.coalesce("batch_key", F.raise_error(F.concat(F.lit("no submission for "), "_file")))
+        raw = raw.join(F.broadcast(keys), "_file", "left").withColumn("batch_key", known)
+        wide = [row.batch_key for row in raw.where(BEYOND).select("batch_key").distinct().collect()]  # some of the members
+        unreadable.update({key: TOO_WIDE for key in wide})
         try:
-            parts.append(clean_batch(raw.join(F.broadcast(keys), "_file", "left").withColumn("batch_key", known), as_of).rows)
+            parts.append(clean_batch(raw.where(~F.col("batch_key").isin(wide)) if wide else raw, as_of).rows)
         except UnknownLayout as error:
             unreadable.update({m.batch_key: str(error) for m in members})
     return (reduce(DataFrame.unionByName, parts) if parts else None), unreadable
@@ -148,10 +159,12 @@ def settle(
 
 
 def ingest_file(
-    store: StarStore, path: str, as_of: dt.datetime, on_review: str = "hold", batch_key: str | None = None
+    store: StarStore, path: str, as_of: dt.datetime, on_review: str = "hold", batch_key: str | None = None, multi_line: bool = False
 ) -> Row | None:
     """Gate one file. ``on_review`` says whether a batch that needs review is held or merged.
 
+    A file that cannot be read is logged as rejected. ``multi_line`` allows line breaks inside quotes.
+
     Returns the decision, or None when ``batch_key`` is already logged. Without a key the
     path and submission time make one, so the same file sent twice counts twice.
     """
@@ -161,11 +174,16 @@ def ingest_file(
         return None
     submission = Submission(key, path, filename)
     with staging_scope(store.spark):
-        rows = read_submission(store, submission, as_of).rows
-        return settle(store, rows, [submission], {}, as_of, on_review)[0]
+        try:
+            rows, unreadable = read_submission(store, submission, as_of, multi_line).rows, {}
+        except UnknownLayout as error:
+            rows, unreadable = None, {key: str(error)}
+        return settle(store, rows, [submission], unreadable, as_of, on_review)[0]
 
 
-def ingest_files(store: StarStore, submissions: list[Submission], as_of: dt.datetime, on_review: str = "hold") -> list[Row]:
+def ingest_files(
+    store: StarStore, submissions: list[Submission], as_of: dt.datetime, on_review: str = "hold", multi_line: bool = False
+) -> list[Row]:
     """Gate many files, up to ``FILES_PER_COMMIT`` in one pass; files already logged are skipped.
 
     Earlier files win over later ones.
@@ -177,7 +195,7 @@ def ingest_files(store: StarStore, submissions: list[Submission], as_of: dt.date
         fresh = [submission for submission in part if submission.batch_key not in logged]
         if fresh:
             with staging_scope(store.spark):
-                rows, unreadable = read_submissions(store, fresh, as_of)
+                rows, unreadable = read_submissions(store, fresh, as_of, multi_line)
                 decisions += settle(store, rows, fresh, unreadable, as_of, on_review)
     return decisions
 
@@ -187,17 +205,21 @@ def _logged(store: StarStore, keys: list[str]) -> set[str]:
     return {row.batch_key for row in found.collect()}
 
 
-def bulk_load(store: StarStore, path: str, as_of: dt.datetime, export_folder: str | None = None) -> None:
-    """First load of a store from a flat file: clean, normalise, write the five tables. It is not gated.
+def bulk_load(store: StarStore, path: str, as_of: dt.datetime, export_folder: str | None = None, multi_line: bool = False) -> None:
+    """Load a store from a flat file: clean, normalise, replace the five tables. It is not gated.
 
     The file is parsed once, into the staged table; the five tables each read their
-    columns of it.
+    columns of it. What was stored before stays readable until the load's log row is
+    written, and is deleted afterwards.
     """
+    key = BULK + uuid.uuid4().hex
     with staging_scope(store.spark):
-        raw = number_file_rows(read_flat_csv(store.spark, path))
+        raw = number_file_rows(read_flat_csv(store.spark, path, multi_line=multi_line))
+        if not raw.where(BEYOND).isEmpty():
+            raise UnknownLayout(TOO_WIDE)
         flat = clean_bulk(raw).withColumnRenamed("row_no", "row_id")
         entry = flat.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit("bulk").alias("batch_key"),
+            F.lit(key).alias("batch_key"),
             "row_count",
             F.lit([]).cast(T.ArrayType(ISSUE)).alias("issues"),
             F.lit(None).cast("double").alias("health_score"),
@@ -206,7 +228,8 @@ def bulk_load(store: StarStore, path: str, as_of: dt.datetime, export_folder: st
             F.lit(0).alias("rejected_rows"),
         )
         filename = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
-        store.discard("bulk")
-        store.commit(normalise.normalise(flat), log_entries(entry, as_of, filename=filename), "bulk")
+        last = merge.highest(store.log(), "batch_id")
+        store.commit(normalise.normalise(flat), log_entries(entry, as_of, last, filename=filename), key)
+        store.remove_replaced()
     if export_folder:
         store.export_csv(export_folder)

@@ -27,23 +27,25 @@ def read_flat_csv(
 
     Nothing is inferred, so ids keep their zeros and the data is read once. Columns are
     taken by position, which leaves the header free to repeat a name in another case.
+    ``_beyond`` holds what a line has behind its last column: such a line cannot be told apart.
     ``_file``, ``_block`` and ``_seq`` tell each row's place for ``number_file_rows``.
     """
     header = header if header is not None else read_header(spark, paths, multi_line)
-    names = [f"c{n}" for n in range(len(header))]
+    names = [f"c{n}" for n in range(len(header) + 1)]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     rows = spark.read.schema(schema).options(header="true", enforceSchema="true", **_options(multi_line)).csv(paths)
     placed = rows.select(
-        *[null_if_token(F.col(name)).alias(name) for name in names],
+        *[null_if_token(F.col(name)).alias(name) for name in names[:-1]],
+        F.col(names[-1]).alias("_beyond"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    return placed.toDF(*[name.strip() for name in header], "_file", "_block", "_seq")
+    return placed.toDF(*[name.strip() for name in header], "_beyond", "_file", "_block", "_seq")
 
 
 def preview(rows: DataFrame, limit: int = 10) -> DataFrame:
-    return rows.drop("_file", "_block", "_seq").limit(limit)
+    return rows.drop("_beyond", "_file", "_block", "_seq").limit(limit)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

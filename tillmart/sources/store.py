@@ -2,8 +2,9 @@
 
 Parquet has no transaction over several tables, so each append is written under its own
 ``commit_key`` partition, and the log row, written last, is the commit mark. Readers
-keep the partitions named in the log, so a half-written append is never seen. Writing a
-key again replaces only that key's partitions. One writer at a time is assumed.
+keep the partitions named in the log, so a half-written append is never seen. The log row
+of a bulk load also hides every commit logged before it, so a load replaces all tables in
+that one write. One writer at a time is assumed.
 """
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,8 @@ from tillmart.sources.flat_file import write_csv
 
 COMMIT = "commit_key"
 LOG = "ingestion_log"
+#: Batch keys of bulk loads begin with this.
+BULK = "bulk-load-"
 
 # Up to this many commits their keys (about 50 bytes each) are broadcast; beyond it Spark
 # chooses the join and AQE splits its oversized partitions.
@@ -40,12 +43,25 @@ class StarStore:
     def log(self) -> DataFrame:
         return self._read(LOG, _with_commit(INGESTION_LOG))
 
+    def _current_log(self) -> DataFrame:
+        """The log from the last bulk load on."""
+        log = self.log()
+        load = log.where(F.col("batch_key").startswith(BULK)).agg(F.max("batch_id")).first()[0]
+        return log if load is None else log.where(F.col("batch_id") >= load)
+
+    def remove_replaced(self) -> None:
+        """Delete the rows of commits that a bulk load has hidden; their log rows stay."""
+        hidden = self.log().select(COMMIT).distinct().join(self._current_log().select(COMMIT).distinct(), COMMIT, "left_anti")
+        for row in hidden.toLocalIterator():
+            for name in STAR_SCHEMAS:
+                remove_path(self.spark, f"{self.path}/{name}/{COMMIT}={row[COMMIT]}")
+
     def committed_batches(self) -> DataFrame:
         return self.log().select("batch_key").distinct()
 
     def _committed_keys(self) -> DataFrame:
         """One short key per commit. A plain join would send the rows of a large commit to one task."""
-        keys = self.log().select(COMMIT).distinct()
+        keys = self._current_log().select(COMMIT).distinct()
         return F.broadcast(keys) if keys.count() <= BROADCAST_COMMITS else keys
 
     def _committed(self, name: str, keys: DataFrame) -> DataFrame:
@@ -74,6 +90,8 @@ class StarStore:
         To be called before the stored tables are read for a new attempt: that one may
         have no rows for a table, and an empty write replaces nothing.
         """
+        if not self.log().where(F.col(COMMIT) == commit_key).isEmpty():
+            raise ValueError(f"commit {commit_key} is logged and cannot be discarded")
         for name in (*STAR_SCHEMAS, LOG):
             remove_path(self.spark, f"{self.path}/{name}/{COMMIT}={commit_key}")
 

@@ -21,6 +21,7 @@ def watch_folder(
     files_per_trigger: int = FILES_PER_COMMIT,
     clock: Callable[[], dt.datetime] = _now,
     name_filter: str = "*.csv",
+    multi_line: bool = False,
 ) -> StreamingQuery:
     """Gate every file that is in the folder, then stop; start again for later files.
 
@@ -41,6 +42,6 @@ def watch_folder(
     def gate(files: DataFrame, _epoch: int) -> None:
         found = submissions(files)
         if found:
-            ingest_files(store, found, clock(), on_review)
+            ingest_files(store, found, clock(), on_review, multi_line)
 
     return names.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
