@@ -124,17 +124,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             totals = _totals(batch.column(1), gram_counts, np.zeros(BUCKETS, np.int64))
             kept = [row for row, total in enumerate(totals) if total.any()]
             buckets = [np.flatnonzero(totals[row]) for row in kept]
-            shares = [(totals[row][found] / totals[row].sum()).astype(np.float32) for row, found in zip(kept, buckets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([b.tolist() for b in buckets], pa.list_(pa.int32())), pa.array([s.tolist() for s in shares], pa.list_(pa.float32()))],
-                ["lang", "buckets", "shares"],
-            )
+            shares = [(totals[row][found] / totals[row].sum()).astype("<f4").tobytes() for row, found in zip(kept, buckets)]
+            columns = [pa.array([found.astype("<u2").tobytes() for found in buckets], pa.binary()), pa.array(shares, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *columns], ["lang", "buckets", "shares"])
 
     sample = known.where(F.col("draw") <= drawn.last).dropDuplicates(["draw"]).select("lang", "data")
-    rows = sample.mapInArrow(run, "lang string, buckets array<int>, shares array<float>").orderBy("lang", F.xxhash64("buckets", "shares")).collect()
+    rows = sample.mapInArrow(run, "lang string, buckets binary, shares binary").collect()
+    rows.sort(key=lambda row: (row.lang, bytes(row.buckets), bytes(row.shares)))  # training must not depend on arrival
     features = np.zeros((len(rows), BUCKETS), np.float32)
     for n, row in enumerate(rows):
-        features[n, row.buckets] = row.shares
+        features[n, np.frombuffer(row.buckets, "<u2")] = np.frombuffer(row.shares, "<f4")
     return train(features, [row.lang for row in rows])
 
 
