@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillmart.functions.dates import parse_date, quarter_index, quarter_label
-from tillmart.functions.numbers import parse_amount, parse_number
+from tillmart.functions.numbers import fits, parse_amount, parse_exact, parse_number
 from tillmart.functions.text import null_if_token, or_default, short_label, strip
 from tillmart.operators.quality import health, verdict
 
@@ -31,10 +31,14 @@ def test_numbers(spark):
     assert [float(amount) for _, amount in got] == list(NUMBERS.values())
 
 
-def test_amounts_beyond_the_type_count_as_unreadable(spark):
-    assert evaluate(spark, ["1e15", "12345678901234.5678"], parse_amount(F.col("s").cast("string")).cast("string")) == [
-        "0.0000", "12345678901234.5678",
+def test_an_amount_beyond_the_store_is_an_error(spark):
+    assert evaluate(spark, ["12345678901234.5678", "1e999", "1e-300"], parse_amount(F.col("s")).cast("string")) == [
+        "12345678901234.5678", "0.0000", "0.0000",
     ]
+    for text in ("1e15", "-123456789012345678", "1e300"):
+        with pytest.raises(Exception, match="does not fit"):
+            evaluate(spark, [text], parse_amount(F.col("s")))
+        assert evaluate(spark, [text], fits(parse_exact(F.col("s")))) == [False]
 
 
 MARCH_15 = dt.date(2014, 3, 15)

@@ -266,3 +266,27 @@ def test_submission_time_is_utc(spark):
     finally:
         os.environ.pop("TZ") if zone is None else os.environ.update(TZ=zone)
         time.tzset()
+
+
+def test_an_amount_that_the_store_cannot_hold_refuses_the_batch(store, tmp_path):
+    large = write(tmp_path, "large.csv", "Order ID,sales,quantity\nO1,123456789012345678,1\nO2,5,1\n")
+    decision = ingest_file(store, large, AS_OF, on_review="merge")
+    assert (decision.status, decision.action, decision.issues[-1]["name"]) == ("Rejected", "reject", "Amount Range")
+    refused = store.spark.read.option("header", True).csv(f"{store.path}/quarantine/*").collect()
+    assert sorted(row.sales for row in refused) == ["123456789012345678.0000000000000000", "5.0000"]
+    assert store.table("order_items").count() == 0 and store.log().count() == 1
+
+
+def test_rules_see_amounts_before_they_are_rounded(store, tmp_path):
+    path = write(tmp_path, "fine.csv", "Order ID,sales,quantity,discount\nO1,0.00001,1,1.00001\nO2,5,2.99999,1\n")
+    decision = ingest_file(store, path, AS_OF, on_review="merge")
+    counts = {issue["name"]: issue["count"] for issue in decision.issues}
+    assert (counts["Extreme Discounts"], counts["Null or Zero Sales"], len(counts)) == (1, 0, 7)
+    assert sorted(row.quantity for row in store.table("order_items").collect()) == [1, 2]
+
+
+def test_decisions_carry_mapping_and_warnings(store, tmp_path):
+    decision = ingest_file(store, write(tmp_path, "good.csv", GOOD), AS_OF)
+    assert decision.columns["order_id"] == "Order No" and decision.columns["quantity"] == "qty"
+    assert decision.warnings == ["ship_date is missing: the order date is used", "profit is missing: 0 is used", "columns not recognised: extra"]
+    assert ingest_file(store, write(tmp_path, "odd.csv", "foo\n1\n"), AS_OF).warnings == []

@@ -4,9 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillmart.functions.text import EDGE_SPACE, keep_if
-from tillmart.schemas import AMOUNT
+from tillmart.schemas import AMOUNT, EXACT
 
 _DIGITS = r"\d(?:_?\d)*"
+_LARGEST = "9" * (EXACT.precision - EXACT.scale)
 _NUMBER = rf"^\s*([+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)\s*$"
 
 
@@ -28,9 +29,28 @@ def parse_number(text: Column) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """Exact decimal value of an amount; 0 for null, junk and more than 14 integer digits."""
-    value = keep_if(number_text(text).try_cast(AMOUNT), lambda amount: amount.isNotNull())
-    return F.coalesce(value, F.lit(0).cast(AMOUNT))
+    """Exact decimal value of an amount; 0 for null and junk. One that the store cannot hold is an error."""
+    beyond = F.raise_error(F.lit(f"an amount does not fit {AMOUNT.simpleString()}")).cast(AMOUNT)
+    return F.coalesce(parse_exact(text).try_cast(AMOUNT), beyond)
+
+
+def parse_exact(text: Column) -> Column:
+    """An amount with all its decimals; 0 for null, junk and anything not finite.
+
+    One with more integer digits than the type holds becomes the largest, which ``fits`` refuses.
+    """
+
+    def value(numeral: Column) -> Column:
+        size = F.abs(numeral.try_cast("double"))
+        largest = F.when((size >= 1) & (size < float("inf")), F.lit(_LARGEST).cast(EXACT))
+        return F.coalesce(numeral.try_cast(EXACT), largest, F.lit(0).cast(EXACT))
+
+    return F.transform(F.array(number_text(text)), value)[0]
+
+
+def fits(amount: Column) -> Column:
+    """Whether the store can hold the amount, rounded."""
+    return amount.try_cast(AMOUNT).isNotNull()
 
 
 def ratio(part: Column, whole: Column) -> Column:

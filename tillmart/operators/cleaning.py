@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmart.functions.dates import parse_date
-from tillmart.functions.numbers import parse_amount
+from tillmart.functions.numbers import parse_amount, parse_exact
 from tillmart.functions.text import or_default, strip
-from tillmart.schemas import AMOUNT, CANONICAL_COLUMNS, COLUMN_ALIASES, GENERATED_IDS, NUMERIC_DEFAULTS, TEXT_DEFAULTS
+from tillmart.schemas import AMOUNT, CANONICAL_COLUMNS, COLUMN_ALIASES, EXACT, GENERATED_IDS, NUMERIC_DEFAULTS, TEXT_DEFAULTS
 
 # The days that stand for an unreadable date.
 UPLOAD_DATE = dt.date(2024, 1, 1)
@@ -97,14 +97,18 @@ def bulk_dates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ship_date", F.coalesce(parse_date(F.col("ship_date")), late))
 
 
-def clean_amount_columns(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Exact decimals; an absent column becomes 0, an absent quantity 1."""
+def clean_amount_columns(rows: DataFrame, exact: bool = False) -> tuple[DataFrame, list[str]]:
+    """Exact decimals; an absent column becomes 0, an absent quantity 1.
+
+    With ``exact`` amounts keep all their decimals and none is refused yet.
+    """
+    parse, kind = (parse_exact, EXACT) if exact else (parse_amount, AMOUNT)
     notes = []
     for name, default in NUMERIC_DEFAULTS.items():
         if name in rows.columns:
-            rows = rows.withColumn(name, parse_amount(F.col(name)))
+            rows = rows.withColumn(name, parse(F.col(name)))
         else:
-            rows = rows.withColumn(name, F.lit(default).cast(AMOUNT))
+            rows = rows.withColumn(name, F.lit(default).cast(kind))
             if name in ("sales", "profit"):
                 notes.append(f"{name} is missing: 0 is used")
     return rows, notes
@@ -149,11 +153,14 @@ class CleanBatch:
     warnings: list[str] = field(default_factory=list)
 
 
-def clean_batch(upload: DataFrame, as_of: dt.datetime) -> CleanBatch:
-    """All cleaning steps. The upload carries ``row_no``, its rows numbered from 1 in each batch."""
+def clean_batch(upload: DataFrame, as_of: dt.datetime, exact: bool = False) -> CleanBatch:
+    """All cleaning steps. The upload carries ``row_no``, its rows numbered from 1 in each batch.
+
+    With ``exact`` amounts are as written, so that rules judge them before they are rounded.
+    """
     rows, mapping = select_canonical(upload)
     rows, date_notes = clean_date_columns(rows, as_of)
-    rows, amount_notes = clean_amount_columns(rows)
+    rows, amount_notes = clean_amount_columns(rows, exact)
     rows = fill_ids(fill_text(rows))
     rows, id_notes = fill_order_ids(rows, as_of)
     warnings = date_notes + amount_notes + id_notes

@@ -7,16 +7,17 @@ from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillmart.functions.numbers import fits
 from tillmart.operators import merge, normalise, quality
 from tillmart.operators.batch_log import log_entries
 from tillmart.operators.cleaning import CleanBatch, UnknownLayout, clean_batch, clean_bulk
 from tillmart.operators.numbering import number_file_rows
 from tillmart.operators.staging import staging_scope
-from tillmart.schemas import CANONICAL_COLUMNS, ISSUE
+from tillmart.schemas import AMOUNT, CANONICAL_COLUMNS, ISSUE, NUMERIC_DEFAULTS
 from tillmart.sources.flat_file import read_flat_csv, read_header
 from tillmart.sources.store import BULK, StarStore
 
@@ -30,6 +31,12 @@ FILES_PER_COMMIT = 500
 BEYOND = "_beyond IS NOT NULL"
 TOO_WIDE = "a line has more fields than the header has columns"
 
+# Refuses a batch, whatever its score: an amount would be lost in the store.
+AMOUNT_RANGE = quality.Rule(
+    "Amount Range", "error", "Rows with an amount that the store cannot hold",
+    lambda day: reduce(Column.__or__, [~fits(F.col(name)) for name in NUMERIC_DEFAULTS]),
+)
+
 
 @dataclass(frozen=True)
 class Submission:
@@ -62,13 +69,13 @@ def read_submission(store: StarStore, submission: Submission, as_of: dt.datetime
     raw = number_file_rows(read_flat_csv(store.spark, submission.path, multi_line=multi_line))
     if not raw.where(BEYOND).isEmpty():
         raise UnknownLayout(TOO_WIDE)
-    return clean_batch(raw.withColumn("batch_key", F.lit(submission.batch_key)), as_of)
+    return clean_batch(raw.withColumn("batch_key", F.lit(submission.batch_key)), as_of, exact=True)
 
 
 def read_submissions(
     store: StarStore, submissions: list[Submission], as_of: dt.datetime, multi_line: bool = False
-) -> tuple[DataFrame | None, dict[str, str]]:
-    """(cleaned rows of all files, reasons of files that cannot be mapped).
+) -> tuple[DataFrame | None, dict[str, str], dict[str, CleanBatch]]:
+    """(cleaned rows of all files, reasons of files that cannot be mapped, mapping and warnings of the others).
 
     Files with the same header line are read by one scan. Only header lines and the file
     list, whose length the caller bounds, pass through the driver.
@@ -77,7 +84,7 @@ def read_submissions(
     by_header = defaultdict(list)
     for submission in submissions:
         by_header[tuple(read_header(spark, submission.path, multi_line))].append(submission)
-    parts, unreadable = [], {}
+    parts, unreadable, cleaned = [], {}, {}
     for header, members in by_header.items():
         raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], list(header), multi_line), per_file=True)
         keys = spark.createDataFrame([(m.file_id, m.batch_key) for m in members], "_file string, batch_key string")
@@ -87,15 +94,25 @@ def read_submissions(
         wide = [row.batch_key for row in raw.where(BEYOND).select("batch_key").distinct().collect()]  # some of the members
         unreadable.update({key: TOO_WIDE for key in wide})
         try:
-            parts.append(clean_batch(raw.where(~F.col("batch_key").isin(wide)) if wide else raw, as_of).rows)
+            batch = clean_batch(raw.where(~F.col("batch_key").isin(wide)) if wide else raw, as_of, exact=True)
+            parts.append(batch.rows)
+            cleaned.update({m.batch_key: batch for m in members if m.batch_key not in wide})
         except UnknownLayout as error:
             unreadable.update({m.batch_key: str(error) for m in members})
-    return (reduce(DataFrame.unionByName, parts) if parts else None), unreadable
+    return (reduce(DataFrame.unionByName, parts) if parts else None), unreadable, cleaned
+
+
+def _ranged(score: Row) -> Row:
+    """The batch is refused when an amount is out of range; otherwise that check is not listed."""
+    *issues, beyond = score.issues
+    changed = {"issues": issues} if beyond.passed else {"status": quality.REJECTED}
+    return Row(**score.asDict() | changed)
 
 
 def _scores(rows: DataFrame | None, store: StarStore, keys: list[str], unreadable: dict[str, str], as_of: dt.date) -> DataFrame:
     """Scores of every submission: files without rows or without a known column are scored as empty."""
-    scored = [] if rows is None else quality.score_batches(rows, as_of, ["batch_key"]).collect()
+    rules = (*quality.RULES, AMOUNT_RANGE)
+    scored = [] if rows is None else [_ranged(row) for row in quality.score_batches(rows, as_of, ["batch_key"], rules).collect()]
     seen = {row.batch_key for row in scored}
     empty_frame = store.spark.createDataFrame([], "quantity double, sales double, discount double, order_date date, ship_date date, customer_name string, product_name string")
     empty = quality.score_batches(empty_frame, as_of).first() if len(seen) < len(keys) else None
@@ -123,8 +140,12 @@ def settle(
     unreadable: dict[str, str],
     as_of: dt.datetime,
     on_review: str,
+    cleaned: dict[str, CleanBatch],
 ) -> list[Row]:
-    """Score all batches in one job, merge the accepted ones in one pass, log every one."""
+    """Score all batches in one job, merge the accepted ones in one pass, log every one.
+
+    A decision carries the batch's ``columns`` (canonical name to header name) and ``warnings``.
+    """
     spark = store.spark
     keys = [submission.batch_key for submission in submissions]
     decisions = quality.disposition(_scores(rows, store, keys, unreadable, as_of.date()), on_review).collect()
@@ -152,10 +173,17 @@ def settle(
         accepted = rows.join(F.broadcast(taken), "batch_key").withColumn("row_id", F.col("rows_before") + F.col("row_no"))
         new = merge.plan_merge(accepted, store.star(), batch_rows=first)
     if rows is not None and "reject" in actions:
-        refused = _only(rows, decided, "reject").select("batch_key", *CANONICAL_COLUMNS)
+        # Rounded as the store would, but for an amount that it cannot hold.
+        shown = {name: F.coalesce(F.col(name).try_cast(AMOUNT).cast("string"), F.col(name).cast("string")) for name in NUMERIC_DEFAULTS}
+        refused = _only(rows, decided, "reject").select("batch_key", *CANONICAL_COLUMNS).withColumns(shown)
         store.quarantine(refused, commit_key)
     store.commit(new, entries, commit_key)
-    return decisions
+    return [Row(**row.asDict(), **_notes(cleaned.get(row.batch_key))) for row in decisions]
+
+
+def _notes(batch: CleanBatch | None) -> dict:
+    """What a caller should know of how the file was understood."""
+    return {"columns": batch.mapping.source_names() if batch else {}, "warnings": batch.warnings if batch else []}
 
 
 def ingest_file(
@@ -175,10 +203,11 @@ def ingest_file(
     submission = Submission(key, path, filename)
     with staging_scope(store.spark):
         try:
-            rows, unreadable = read_submission(store, submission, as_of, multi_line).rows, {}
+            batch = read_submission(store, submission, as_of, multi_line)
+            rows, unreadable, cleaned = batch.rows, {}, {key: batch}
         except UnknownLayout as error:
-            rows, unreadable = None, {key: str(error)}
-        return settle(store, rows, [submission], unreadable, as_of, on_review)[0]
+            rows, unreadable, cleaned = None, {key: str(error)}, {}
+        return settle(store, rows, [submission], unreadable, as_of, on_review, cleaned)[0]
 
 
 def ingest_files(
@@ -195,8 +224,8 @@ def ingest_files(
         fresh = [submission for submission in part if submission.batch_key not in logged]
         if fresh:
             with staging_scope(store.spark):
-                rows, unreadable = read_submissions(store, fresh, as_of, multi_line)
-                decisions += settle(store, rows, fresh, unreadable, as_of, on_review)
+                rows, unreadable, cleaned = read_submissions(store, fresh, as_of, multi_line)
+                decisions += settle(store, rows, fresh, unreadable, as_of, on_review, cleaned)
     return decisions
 
 

@@ -4,6 +4,9 @@ from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(18, 4)
 
+# An amount as written, before it is rounded for the store.
+EXACT = T.DecimalType(38, 16)
+
 # The canonical columns of an upload and the header spellings accepted for each,
 # first match wins.
 COLUMN_ALIASES = {
