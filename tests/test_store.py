@@ -290,3 +290,26 @@ def test_decisions_carry_mapping_and_warnings(store, tmp_path):
     assert decision.columns["order_id"] == "Order No" and decision.columns["quantity"] == "qty"
     assert decision.warnings == ["ship_date is missing: the order date is used", "profit is missing: 0 is used", "columns not recognised: extra"]
     assert ingest_file(store, write(tmp_path, "odd.csv", "foo\n1\n"), AS_OF).warnings == []
+
+
+def test_every_file_of_an_inbox_has_a_log_row(store, tmp_path):
+    inbox = tmp_path / "in"
+    write(inbox, "good.csv", GOOD)
+    write(inbox, "none.csv", "")
+    for checkpoint in ("ck", "other"):
+        run(store, inbox, tmp_path / checkpoint)
+        log = store.log().collect()
+        assert sorted((row.filename, row.status) for row in log) == [("good.csv", "Accepted"), ("none.csv", "Rejected")]
+
+
+def test_parts_with_other_headers_refuse_the_folder(store, tmp_path):
+    folder = tmp_path / "parts"
+    write(folder, "a.csv", "Order ID,sales,quantity\nO1,10,3\n")
+    write(folder, "b.csv", "quantity,sales,Order ID\n3,20,O2\n")
+    decision = ingest_file(store, str(folder), AS_OF)
+    assert (decision.status, decision.issues[0]["desc"]) == ("Rejected", intake.OTHER_HEADER)
+    with pytest.raises(intake.UnknownLayout):
+        bulk_load(store, str(folder), AS_OF)
+    write(folder, "b.csv", "Order ID,sales,quantity\nO2,20,3\n")
+    assert ingest_file(store, str(folder), AS_OF, batch_key="again").status == "Accepted"
+    assert sorted((row.order_id, row.sales) for row in store.table("order_items").collect()) == [("O1", 10), ("O2", 20)]

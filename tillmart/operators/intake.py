@@ -4,10 +4,11 @@ import datetime as dt
 import hashlib
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +19,7 @@ from tillmart.operators.cleaning import CleanBatch, UnknownLayout, clean_batch,
 from tillmart.operators.numbering import number_file_rows
 from tillmart.operators.staging import staging_scope
 from tillmart.schemas import AMOUNT, CANONICAL_COLUMNS, ISSUE, NUMERIC_DEFAULTS
-from tillmart.sources.flat_file import read_flat_csv, read_header
+from tillmart.sources.flat_file import first_line, list_files, parts_differ, read_flat_csv, read_header
 from tillmart.sources.store import BULK, StarStore
 
 
@@ -31,6 +32,8 @@ FILES_PER_COMMIT = 500
 BEYOND = "_beyond IS NOT NULL"
 TOO_WIDE = "a line has more fields than the header has columns"
 
+OTHER_HEADER = "the parts of the folder begin with different header lines"
+
 # Refuses a batch, whatever its score: an amount would be lost in the store.
 AMOUNT_RANGE = quality.Rule(
     "Amount Range", "error", "Rows with an amount that the store cannot hold",
@@ -59,16 +62,32 @@ def submissions(files: DataFrame) -> list[Submission]:
     return [Submission(**row.asDict()) for row in listed.collect()]
 
 
+def empty_files(spark: SparkSession, pattern: str) -> Iterator[Submission]:
+    """Zero-byte files, which the binaryFile source does not list."""
+    for path, changed, length in list_files(spark, pattern):
+        if length == 0:
+            key = hashlib.sha256(f"{path}|{changed}|empty".encode()).hexdigest()
+            yield Submission(key, path, path.rsplit("/", 1)[-1], path)
+
+
 def commit_key_of(batch_keys: list[str]) -> str:
     """The same files always give the same key, so a replay meets its own earlier attempt."""
     return hashlib.sha256("\n".join(sorted(batch_keys)).encode()).hexdigest()[:32]
 
 
-def read_submission(store: StarStore, submission: Submission, as_of: dt.datetime, multi_line: bool = False) -> CleanBatch:
-    """Cleaned rows of one file, or of one folder of parts with a common header."""
-    raw = number_file_rows(read_flat_csv(store.spark, submission.path, multi_line=multi_line))
+def _read_rows(store: StarStore, path: str, multi_line: bool) -> DataFrame:
+    """Numbered rows of a file or folder, if its columns can be told apart."""
+    if parts_differ(store.spark, path):
+        raise UnknownLayout(OTHER_HEADER)
+    raw = number_file_rows(read_flat_csv(store.spark, path, multi_line=multi_line))
     if not raw.where(BEYOND).isEmpty():
         raise UnknownLayout(TOO_WIDE)
+    return raw
+
+
+def read_submission(store: StarStore, submission: Submission, as_of: dt.datetime, multi_line: bool = False) -> CleanBatch:
+    """Cleaned rows of one file, or of one folder of parts with a common header."""
+    raw = _read_rows(store, submission.path, multi_line)
     return clean_batch(raw.withColumn("batch_key", F.lit(submission.batch_key)), as_of, exact=True)
 
 
@@ -81,12 +100,15 @@ def read_submissions(
     list, whose length the caller bounds, pass through the driver.
     """
     spark = store.spark
-    by_header = defaultdict(list)
+    by_line = defaultdict(list)
     for submission in submissions:
-        by_header[tuple(read_header(spark, submission.path, multi_line))].append(submission)
+        # A header with line breaks inside quotes is read whole by Spark.
+        line = read_header(spark, submission.path, multi_line) if multi_line else [first_line(spark, submission.path)]
+        by_line[tuple(line)].append(submission)
     parts, unreadable, cleaned = [], {}, {}
-    for header, members in by_header.items():
-        raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], list(header), multi_line), per_file=True)
+    for members in by_line.values():
+        header = read_header(spark, members[0].path, multi_line)
+        raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], header, multi_line), per_file=True)
         keys = spark.createDataFrame([(m.file_id, m.batch_key) for m in members], "_file string, batch_key string")
         # A file id that matches no submission is a mistake of the caller: fail, do not lose the rows.
         known = F.coalesce("batch_key", F.raise_error(F.concat(F.lit("no submission for "), "_file")))
@@ -243,9 +265,7 @@ def bulk_load(store: StarStore, path: str, as_of: dt.datetime, export_folder: st
     """
     key = BULK + uuid.uuid4().hex
     with staging_scope(store.spark):
-        raw = number_file_rows(read_flat_csv(store.spark, path, multi_line=multi_line))
-        if not raw.where(BEYOND).isEmpty():
-            raise UnknownLayout(TOO_WIDE)
+        raw = _read_rows(store, path, multi_line)
         flat = clean_bulk(raw).withColumnRenamed("row_no", "row_id")
         entry = flat.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(key).alias("batch_key"),

@@ -1,5 +1,7 @@
 """Flat sales files."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,40 @@ def read_header(spark: SparkSession, paths: str | list[str], multi_line: bool =
     return [] if first is None else [name or "" for name in first]
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The file's first line as written; a few bytes are read, without a job."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        content = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(content, ENCODING)).readLine()
+    finally:
+        stream.close()
+
+
+def list_files(spark: SparkSession, pattern: str) -> Iterator[tuple[str, int, int]]:
+    """(path, change time, length) of the data files that match, one level deep; the listing is read by the driver piece by piece."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(place) or ():
+        folder = system.listStatusIterator(status.getPath()) if status.isDirectory() else None
+        while folder is None or folder.hasNext():
+            file = status if folder is None else folder.next()
+            if not file.isDirectory() and not file.getPath().getName().startswith(("_", ".")):
+                yield file.getPath().toString(), file.getModificationTime(), file.getLen()
+            if folder is None:
+                break
+
+
+def parts_differ(spark: SparkSession, path: str) -> bool:
+    """Whether parts of a folder begin with different lines. Columns are taken by position, so they must not."""
+    lines = (first_line(spark, part) for part, _, length in list_files(spark, path) if length)
+    first = next(lines, None)
+    return any(line != first for line in lines)
+
+
 def read_flat_csv(
     spark: SparkSession, paths: str | list[str], header: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tillmart.operators.intake import FILES_PER_COMMIT, ingest_files, submissions
+from tillmart.operators.intake import FILES_PER_COMMIT, empty_files, ingest_files, submissions
 from tillmart.sources.store import StarStore
 
 def _now() -> dt.datetime:
@@ -29,6 +30,7 @@ def watch_folder(
     mix files whose headers differ. Each file is one batch, known by path and change
     time. A replayed trigger finds its files logged and does nothing, or replaces its
     own unfinished append. Files must appear whole, by a move into the folder.
+    Files without a byte are logged first: the stream has no row for them.
     """
     names = (
         store.spark.readStream.format("binaryFile")
@@ -44,4 +46,6 @@ def watch_folder(
         if found:
             ingest_files(store, found, clock(), on_review, multi_line)
 
+    for files in batched(empty_files(store.spark, f"{inbox}/{name_filter}"), FILES_PER_COMMIT):
+        ingest_files(store, list(files), clock(), on_review, multi_line)
     return names.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
