@@ -397,3 +397,14 @@ def test_held_out_rows_are_not_learned_from(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert np.allclose(quality.fit(texts, labels).e_layer, quality.fit(texts, turned).e_layer)
     assert zlib.crc32(b"17") % 3 == texts.select(F.expr("crc32(cast('17' as binary)) % 3")).first()[0]
+
+
+def test_line_dedup_of_a_text_with_very_many_lines(spark):
+    """Dropping half of a text's lines takes time in proportion to their number, not to its square."""
+    common = [f"common {n}" for n in range(20_000)]
+    long = "\n".join(line for n, shared in enumerate(common) for line in (shared, f"own {n}"))
+    texts = [long, "\n".join(common)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_dedup.drop_frequent_lines(docs, min_documents=2)
+    want = Counter((n, *found) for n, found in enumerate(plain.line_dedup(texts, 2, 1)))
+    assert Counter((r.doc.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want
