@@ -29,9 +29,13 @@ def normalise(text: Column) -> Column:
 
 def _blocks(text: Column, size: int) -> Column:
     """The text's bytes in pieces; an empty text is one empty piece. Slices of bytes need no scan from the start."""
-    data = F.encode(text, "UTF-8")
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / F.lit(size))).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.substring(data, n * F.lit(size) + 1, F.lit(size)))
+    # The bytes are named once, as the argument of a lambda: inside the inner one they would be encoded anew for each block.
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(size))).cast("int")
+    cut = F.transform(
+        F.array(F.encode(text, "UTF-8")),
+        lambda data: F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.substring(data, n * F.lit(size) + 1, F.lit(size))),
+    )
+    return F.get(cut, F.lit(0))
 
 
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
