@@ -30,20 +30,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each component stays; a component of null ids alone keeps one row."""
-    rows = simhash.near_duplicates(docs)
-    found = stage(rows.select("doc_id", "component_id").distinct(), "components")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    """One row of each component stays: of the least id, a null id last; of its rows with that id and text the least by its columns."""
+    first = stage(simhash.representatives(docs), "representatives")
     rows = docs.select(F.struct("*").alias("doc"))  # so that no column name can clash
-    kept = rows.join(stays, F.col("doc.doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    ids = stage(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated")), "repeated-ids")
-    if ids.isEmpty():
+    key = simhash.text_key(F.col("doc.text"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("first_id")) & (key == F.col("first_key"))
+    kept = rows.join(first.where("n = 1"), same, "left_semi")
+    repeated = first.where("n > 1")
+    if repeated.isEmpty():
         return kept.select("doc.*")
-    # Rows that repeat an id: one of them, the least by its columns.
-    again = F.col("doc.doc_id").eqNullSafe(F.col("repeated"))
     order = F.struct(*(F.struct(F.col(f"doc.{name}").isNull().alias("none"), F.col(f"doc.{name}").alias("value")) for name in docs.columns))
-    one = kept.join(ids, again, "left_semi").groupBy("doc.doc_id").agg(F.min_by("doc", order).alias("doc"))
-    return kept.join(ids, again, "left_anti").unionByName(one.select("doc")).select("doc.*")
+    one = rows.join(repeated, same, "left_semi").groupBy(F.col("doc.doc_id").alias("id"), key.alias("key")).agg(F.min_by("doc", order).alias("doc"))
+    return kept.unionByName(one.select("doc")).select("doc.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,13 @@ def test_quality_stage_keeps_what_it_does_not_reject(spark):
     kept = corpus_pipeline.keep_good(spark, docs, SF_DIR)
     want = quality.score_ids(docs, quality.fit(docs, labels)).where("score >= 0.5").select("doc_id")
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in want.collect()}
+
+
+def test_near_copies_leave_one_row_per_component(spark):
+    """Ids that repeat or are null do not stand for one document."""
+    far = [" ".join(f"{word}{n}" for n in range(40)) for word in ("red", "green", "blue", "grey", "pink")]
+    given = [(None, far[0]), (None, far[1]), (None, far[1]), (1, far[2]), (1, far[3]), (None, far[3]), (2, far[4]), (1, far[4]), (3, None), (None, "")]
+    docs = frame(spark, [(doc_id, text, "en", "s", 1) for doc_id, text in given])
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF_DIR)
+    want = [(None, far[0]), (None, far[1]), (1, far[2]), (1, far[3]), (1, far[4]), (3, None)]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)

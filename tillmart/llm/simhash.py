@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmart.llm.common import ready_workers
+from tillmart.llm.common import ready_workers, sha256_hex
 from tillmart.operators.staging import remove_path, stage
 
 SHINGLE_WORDS = 3
@@ -175,12 +175,38 @@ def near_duplicates(
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     classes = stage(rows.groupBy("bits").agg(F.min("id").alias("least")), "classes")
-    nodes = components(close_pairs(classes.select("bits"), distance, group))
-    classes = classes.join(nodes.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    classes = _with_roots(classes, distance, group)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("bits", "component_id")
     return rows.join(classes, "bits").select(F.col("id").alias(id_col), _hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def text_key(text: Column) -> Column:
+    """Equal for equal texts only; a null text has a key of its own."""
+    return F.coalesce(sha256_hex(text), F.lit(""))
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, group: int = GROUP
+) -> DataFrame:
+    """One row per component of near_duplicates: first_id, first_key (text_key) and n, the number of its rows with this id and text.
+
+    The first row of a component has the least id, a null id coming last, and then the least key.
+    """
+    named = F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
+    rows = stage(fingerprints(docs.select(named.alias("id"), F.col(text_col).alias("text")), "id", "text", shingle_words), "fingerprints")
+    rows = rows.groupBy("bits", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.key").alias("key"), "n")
+    classes = stage(rows.groupBy("bits").agg(F.min(first).alias("first")), "classes")
+    found = _with_roots(classes, distance, group).groupBy("root").agg(F.min("first").alias("first"))
+    return found.select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.n").alias("n"))
+
+
+def _with_roots(classes: DataFrame, distance: int, group: int) -> DataFrame:
+    """Adds to each distinct fingerprint the least one of its component."""
+    nodes = components(close_pairs(classes.select("bits"), distance, group))
+    return classes.join(nodes.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def _hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
