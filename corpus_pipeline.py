@@ -45,11 +45,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item."""
-    rows = decontamination.contaminated_spans(docs, table(spark, sf_dir, "benchmark"))
-    leaks = stage(rows.where(F.size("spans") > 0).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    """Rows without a window of any benchmark item. The text alone decides, so rows are told apart by it and not by their ids."""
+    texts = docs.select(simhash.text_key(F.col("text")).alias("key"), "text")
+    rows = decontamination.contaminated_spans(texts, table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = stage(rows.where(F.size("spans") > 0).select(F.col("key").alias("leak")).distinct(), "leaks")
     rows = docs.select(F.struct("*").alias("doc"))
-    return rows.join(leaks, F.col("doc.doc_id").eqNullSafe(F.col("leak")), "left_anti").select("doc.*")
+    return rows.join(leaks, simhash.text_key(F.col("doc.text")) == F.col("leak"), "left_anti").select("doc.*")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,12 @@ def test_near_copies_leave_one_row_per_component(spark):
     out = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF_DIR)
     want = [(None, far[0]), (None, far[1]), (1, far[2]), (1, far[3]), (1, far[4]), (3, None)]
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
+def test_leaks_take_no_row_with_the_same_id(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 100").first().text
+    given = [(None, item), (None, "clean text"), (None, None), (1, f"so {item}"), (1, "other clean text"), (2, item)]
+    docs = frame(spark, [(doc_id, text, "en", "s", 1) for doc_id, text in given])
+    out = corpus_pipeline.drop_leaks(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([given[1], given[2], given[4]])
