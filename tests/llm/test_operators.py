@@ -408,3 +408,12 @@ def test_line_dedup_of_a_text_with_very_many_lines(spark):
     got = line_dedup.drop_frequent_lines(docs, min_documents=2)
     want = Counter((n, *found) for n, found in enumerate(plain.line_dedup(texts, 2, 1)))
     assert Counter((r.doc.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want
+
+
+def test_one_blocked_page_does_not_block_a_large_host(spark):
+    urls = ["http://large.net/es/1"] + [f"http://large.net/p{n}" for n in range(20)]  # a third of all pages, one of them blocked
+    urls += [f"http://spam.net/fr/{n}" for n in range(30)] + ["http://spam.net/p"] + ["http://even.net/es/1", "http://even.net/p"]
+    pages = [(n, url, None) for n, url in enumerate(urls)] + [(100, "http://far.org/p", "<a href='http://large.net/p1'>"), (101, "http://farm.org/p", "<a href='http://spam.net/p'>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = Counter((r.host, r.verdict) for r in url_filter.judge_pages(frame, RULES).collect() if r.rule is None)
+    assert got == Counter({("large.net", "allow"): 20, ("spam.net", "block"): 1, ("even.net", "allow"): 1, ("far.org", "allow"): 1, ("farm.org", "block"): 1})

@@ -2,8 +2,9 @@
 
 Hosts with pages that a rule allows are seeds of trust, hosts with pages that a rule blocks are
 seeds of distrust, each by its number of such pages. Personalised PageRank carries trust along
-links between hosts and distrust against them: who links to a blocked host is suspect. A host is
-blocked when more than a set share of what it receives is distrust.
+links between hosts and distrust against them: who links to a blocked host is suspect. Both are
+counted in pages (a kind's mass times the pages that seeded it), and a host's unruled pages are
+neutral. A host is blocked when more than a set share of the three is distrust.
 
 Links are summed per pair of hosts with a map-side combine before anything is joined, so a host
 with a third of all pages is as many rows as it has neighbours. Both propagations run in one
@@ -97,7 +98,7 @@ def judge_pages(
     """One row per row of pages: id, host, path, rule, verdict, trust, distrust.
 
     A null url or one without `://` has an empty host and path and is allowed, as is a host that
-    neither trust nor distrust reaches. Null html has no links. Repeated rows are judged alike
+    neither trust nor distrust reaches. A page that no rule covers is one neutral page of its host. Null html has no links. Repeated rows are judged alike
     and count as often as they occur; an empty table gives an empty result; other columns play
     no part.
     """
@@ -105,15 +106,22 @@ def judge_pages(
     judged = judged.withColumn("ruled", longest_rule(F.col("host"), F.col("path"), rules))
     judged = judged.select("id", "host", "path", F.col("ruled.rule").alias("rule"), F.col("ruled.verdict").alias("by_rule"))
 
-    seeds = judged.where("by_rule IS NOT NULL").groupBy(F.col("by_rule").alias("kind"), "host").agg(F.count(F.lit(1)).alias("weight"))
+    counts = stage(judged.groupBy(F.col("by_rule").alias("kind"), "host").agg(F.count(F.lit(1)).alias("weight")), "host-pages")
+    seeds = counts.where("kind IS NOT NULL")
+    pages_of = {row.kind: row.weight for row in seeds.groupBy("kind").agg(F.sum("weight").alias("weight")).collect()}  # two kinds
     links = stage(host_links(pages, url_col, html_col), "links")
     stacked = links.select(F.lit("allow").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
     mass = propagate(seeds, stacked, damping, rounds)
     sides = {kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)) for kind in ("allow", "block")}
-    hosts = stage(mass.groupBy("host").agg(sides["allow"].alias("trust"), sides["block"].alias("distrust")), "host-scores")
-    blocked = F.col("distrust") > distrust_share * (F.col("trust") + F.col("distrust"))
+    parts = mass.select("kind", "host", "mass", F.lit(0).cast("bigint").alias("neutral")).unionByName(
+        counts.where("kind IS NULL").select("kind", "host", F.lit(0.0).alias("mass"), F.col("weight").alias("neutral"))
+    )
+    hosts = stage(parts.groupBy("host").agg(sides["allow"].alias("trust"), sides["block"].alias("distrust"), F.sum("neutral").alias("neutral")), "host-scores")
+    good, bad = (F.col(side) * F.lit(pages_of.get(kind, 0)) for side, kind in (("trust", "allow"), ("distrust", "block")))
+    # Rounded, so that the last bit of a quotient decides no tie.
+    blocked = F.round(bad - distrust_share * (good + bad + F.col("neutral")), 6) > 0
     return judged.join(hosts, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
