@@ -417,3 +417,13 @@ def test_one_blocked_page_does_not_block_a_large_host(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = Counter((r.host, r.verdict) for r in url_filter.judge_pages(frame, RULES).collect() if r.rule is None)
     assert got == Counter({("large.net", "allow"): 20, ("spam.net", "block"): 1, ("even.net", "allow"): 1, ("far.org", "allow"): 1, ("farm.org", "block"): 1})
+
+
+def test_propagation_does_not_stop_short_in_silence(spark):
+    seeds = spark.createDataFrame([("allow", "n0", 1)], "kind string, host string, weight long")
+    links = spark.createDataFrame([("allow", f"n{n}", f"n{n + 1}", 1) for n in range(9)], "kind string, src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(seeds, links, rounds=2)
+    got = {r.host: r.mass for r in url_filter.propagate(seeds, links, damping=0.3).collect()}
+    total = sum(0.3**n for n in range(10))
+    assert len(got) == 10 and all(abs(got[f"n{n}"] - 0.3**n / total) < 1e-5 for n in range(10))

@@ -11,6 +11,7 @@ with a third of all pages is as many rows as it has neighbours. Both propagation
 stacked table; each round is written to the shared folder and the round before is removed.
 """
 
+import itertools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,6 @@ from tillmart.llm.common import lower_ascii
 from tillmart.operators.staging import remove_path, stage
 
 DAMPING = 0.85
-ROUNDS = 40
 TOLERANCE = 1e-6
 DISTRUST_SHARE = 0.5
 
@@ -58,18 +58,22 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank per kind. seeds: kind, host, weight; links: kind, src, dst, n. Result: kind, host, mass; masses of a kind add up to 1.
 
-    What reaches a host without links returns to the seeds.
+    What reaches a host without links returns to the seeds. Rounds go on until the masses change by
+    less than the tolerance in all; damping shrinks the change each round, so that ends (about 90
+    rounds by default). An error is raised where fewer are allowed and do not suffice.
     """
+    if not 0 <= damping < 1:
+        raise ValueError(f"damping {damping} is not in [0, 1)")
     spark = seeds.sparkSession
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = stage(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("share")), "seeds")
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     edges = stage(links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("part")), "edges")
     mass = stage(start.select("kind", "host", F.col("share").alias("mass")), "mass")
-    for _ in range(rounds):
+    for done_rounds in itertools.count(1):
         moved = mass.join(edges, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("part")).alias("moved"))
         moved = stage(moved, "moved")
         carried = {row.kind: row.moved for row in moved.groupBy("kind").agg(F.sum("moved").alias("moved")).collect()}  # two kinds
@@ -87,13 +91,14 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
                 remove_path(spark, path)
         mass = new
         if moved_by < tolerance:
-            break
-    return mass
+            return mass
+        if done_rounds == rounds:
+            raise RuntimeError(f"after {rounds} rounds masses still change by {moved_by}")
 
 
 def judge_pages(
     pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    damping: float = DAMPING, rounds: int = ROUNDS, distrust_share: float = DISTRUST_SHARE,
+    damping: float = DAMPING, rounds: int | None = None, distrust_share: float = DISTRUST_SHARE,
 ) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, trust, distrust.
 
