@@ -32,21 +32,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tillmart-{name}-{uuid.uuid4().hex}"
 
 
-def stage(rows: DataFrame, name: str) -> DataFrame:
-    """Write the rows once and read them back."""
+def stage(rows: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write the rows once and read them back. A table that outlives the innermost scope belongs to the scope around it."""
     path = scratch_path(rows.sparkSession, name)
     rows.write.mode("error").parquet(path)
-    _created(path)
+    _created(path, outlive)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staging_scope", default=None)
+#: The paths of each open scope, the innermost last.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("staging_scopes", default=())
 
 
-def _created(path: str) -> None:
-    paths = _scope.get()
-    if paths is not None:
-        paths.append(path)
+def _created(path: str, outlive: bool) -> None:
+    scopes = _scopes.get()
+    scopes = scopes[:-1] if outlive else scopes
+    if scopes:
+        scopes[-1].append(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -58,10 +60,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def staging_scope(spark: SparkSession):
     """Delete the tables staged inside the block when it ends; their readers must be done by then."""
-    token = _scope.set([])
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scope.get():
+        _scopes.reset(token)
+        for path in paths:
             remove_path(spark, path)
-        _scope.reset(token)
