@@ -93,3 +93,50 @@ def jump(key, shards):
         key = (key * 2862933555777941757 + 1) % 2**64
         target = int((place + 1) * ((1 << 31) / ((key >> 33) + 1)))
     return place
+
+
+def near(a, b):
+    """Whether two texts differ by exactly one inserted, deleted or replaced code point."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    same = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[same + 1 :] == b[same + 1 :] or a[same:] == b[same + 1 :] or a[same + 1 :] == b[same:]
+
+
+def variants(words):
+    """words: {word: n}. {word: (form, root, n, n_near, form_n)}."""
+    forms, out = {}, {}
+    beside = {word: [other for other in words if near(word, other)] for word in words}
+    for word, n in words.items():
+        best = min(beside[word], key=lambda other: (-words[other], other), default=None)
+        forms[word] = best if best is not None and words[best] >= 2 * n else None
+    for word, n in words.items():
+        root = word
+        while forms[root] is not None:
+            root = forms[root]
+        out[word] = (forms[word], root, n, len(beside[word]), words[forms[word]] if forms[word] is not None else None)
+    return out
+
+
+def merkle(leaves, fan=3):
+    """The root of a list of hex digests, and each leaf's path: [(left, right)] from its own level upwards."""
+    paths, nodes, places = [[] for _ in leaves], list(leaves), list(range(len(leaves)))
+    while len(nodes) > 1:
+        runs = [nodes[n : n + fan] for n in range(0, len(nodes), fan)]
+        for leaf, place in enumerate(places):
+            run, slot = runs[place // fan], place % fan
+            paths[leaf].append(("".join(run[:slot]), "".join(run[slot + 1 :])))
+        nodes, places = [sha("".join(run)) for run in runs], [place // fan for place in places]
+    return nodes[0] if nodes else None, paths
+
+
+def best_fit_sequences(lengths, capacity):
+    """How many sequences plain best fit needs, longest first."""
+    spaces = []
+    for length in sorted(lengths, reverse=True):
+        fitting = [space for space in spaces if space >= length]
+        space = min(fitting, default=capacity)
+        if fitting:
+            spaces.remove(space)
+        spaces.append(space - length)
+    return len(spaces)

@@ -216,7 +216,7 @@ class Vocabulary:
         return [b"".join(self._encoded(text)) for text in texts] if sum(map(len, texts)) > CHUNK_CHARS else self._encode_together(texts)
 
     def _encoded(self, text: str) -> Iterator[bytes]:
-        for chunk in _chunks(text):
+        for chunk in chunks(text, CHUNK_CHARS):
             yield from self._encode_together([chunk])
 
     def _encode_together(self, texts: list[str]) -> list[bytes]:
@@ -253,15 +253,15 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _chunks(text: str) -> Iterator[str]:
+def chunks(text: str, size: int) -> Iterator[str]:
     """Cuts before a white-space run after a visible character; no piece crosses such a place."""
     start, length = 0, len(text)
-    if length <= CHUNK_CHARS:
+    if length <= size:
         yield text
         return
     edge = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
     while start < length:
-        found = edge.search(text, start + CHUNK_CHARS) if start + CHUNK_CHARS < length else None
+        found = edge.search(text, start + size) if start + size < length else None
         end = found.start() if found else length
         yield text[start:end]
         start = end
