@@ -2,9 +2,11 @@
 
 A text is the average of the embeddings of its byte 2-, 3- and 4-grams, hashed into buckets;
 a linear layer and a softmax name the language. Both are learned by stochastic gradient descent
-on a bounded sample. As the average and the layer are linear, each bucket's embedding and the
-layer fold into one row of scores per bucket once training is done, and a text of any length is
-summed portion by portion.
+on a bounded sample, as many texts of each language as there are, up to the same number; the bias
+is then moved to the languages' true shares. As the average and the layer are linear, each bucket's
+embedding and the layer fold into one row of scores per bucket once training is done. A text's
+bucket counts are whole numbers and its scores a product of its own, so an answer is the same, to
+the last bit, whatever rows lie beside the text.
 """
 
 from collections.abc import Iterator
@@ -12,13 +14,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillmart.llm import grams
 from tillmart.llm.common import crc32_of_id, ready_workers
-from tillmart.llm.grams import gram_buckets, joined, portions
+from tillmart.llm.grams import gram_buckets, gram_counts_of, joined, portions
 
-SAMPLE_ROWS = 3000  # texts that training may use
+SAMPLE_ROWS = 3000  # texts that training may use, shared out evenly among the languages
 BUCKETS, WIDTH, SIZES = 4096, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 30, 64, 4.0
 #: Share of right answers that accepted texts had in calibration.
@@ -35,13 +38,21 @@ def held_out(doc_id: Column) -> Column:
     return crc32_of_id(doc_id) % 4 == 2
 
 
+def _seen(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which bytes stay: a separator after a separator of the same text goes. `first` marks the first byte of each text."""
+    stays = np.ones(len(data), bool)
+    stays[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20) | first[1:]
+    return stays
+
+
 def gram_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of the buckets per text."""
     data, owner = joined(texts)
     data = _SEEN[data]
-    again = np.zeros(len(data), bool)  # a separator after a separator of the same text
-    again[1:] = (data[1:] == 0x20) & (data[:-1] == 0x20) & (owner[1:] == owner[:-1])
-    data, owner = data[~again], owner[~again]
+    first = np.ones(len(data), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    stays = _seen(data, first)
+    data, owner = data[stays], owner[stays]
     counts = np.zeros(len(texts) * BUCKETS, np.int64)
     for size in SIZES:
         bucket, who = gram_buckets(data, owner, size, BUCKETS)
@@ -49,6 +60,19 @@ def gram_counts(texts: list[bytes]) -> np.ndarray:
     return counts.reshape(len(texts), BUCKETS)
 
 
+def bucket_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, counts of the buckets) of a column of texts; null and empty texts are left out."""
+    for rows, texts in portions(column):
+        if len(texts[0]) <= grams.PORTION_BYTES:
+            yield from zip(rows, gram_counts(texts))
+            continue
+        data = _SEEN[np.frombuffer(texts[0], np.uint8)]
+        first = np.zeros(len(data), bool)
+        first[0] = True
+        data = data[_seen(data, first)]
+        yield rows[0], sum(gram_counts_of(data, size, BUCKETS) for size in SIZES)
+
+
 class Model(NamedTuple):
     languages: list[str]
     scores: np.ndarray  # of each bucket and language
@@ -57,8 +81,10 @@ class Model(NamedTuple):
     least: float  # confidence below which an answer is rejected
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        means = counts @ self.scores / np.maximum(counts.sum(1, keepdims=True), 1)
-        return _softmax((means + self.bias) / self.temperature)
+        """Of one text, from its bucket counts."""
+        found = np.flatnonzero(counts)
+        means = counts[found].astype(np.float64) @ self.scores[found] / max(int(counts.sum()), 1)
+        return _softmax(((means + self.bias) / self.temperature)[None, :])[0]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -66,8 +92,11 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(1, keepdims=True)
 
 
-def train(features: np.ndarray, labels: list[str], seed: int = 7) -> Model | None:
-    """Features are bucket shares per text. A fifth of the texts sets the temperature and the rejection; None without texts."""
+def train(features: np.ndarray, labels: list[str], shares: dict[str, float] | None = None, seed: int = 7) -> Model | None:
+    """Features are bucket shares per text. A fifth of the texts sets the temperature and the rejection; None without texts.
+
+    `shares` are the languages' shares among all texts; without them the sample's own.
+    """
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -93,57 +122,63 @@ def train(features: np.ndarray, labels: list[str], seed: int = 7) -> Model | Non
             layer -= rate * (hidden.T @ gradient)
             bias -= rate * 0.1 * gradient.sum(0)
             embedding -= rate * 10 * (some.T @ down)
-    scores = embedding @ layer
+    sampled = np.bincount(target, minlength=len(languages)) / len(target)
+    weight = np.array([(shares or {}).get(name, share) for name, share in zip(languages, sampled)]) / sampled
+    scores = (embedding @ layer).astype(np.float64)
     logits = features[aside] @ scores + bias
     truth = target[aside]
 
     def loss(temperature: float) -> float:
-        return -np.log(np.maximum(_softmax(logits / temperature)[np.arange(len(truth)), truth], 1e-12)).mean()
+        chances = _softmax(logits / temperature + np.log(weight))[np.arange(len(truth)), truth]
+        return np.average(-np.log(np.maximum(chances, 1e-12)), weights=weight[truth])
 
     temperature = min(np.geomspace(0.1, 10, 41).tolist(), key=loss)
-    chances = _softmax(logits / temperature)
+    chances = _softmax(logits / temperature + np.log(weight))
     right, sure = chances.argmax(1) == truth, chances.max(1)
     falling = np.argsort(-sure)
-    precise = np.flatnonzero(np.cumsum(right[falling]) / np.arange(1, len(falling) + 1) >= ACCEPTED_PRECISION)
+    counted = weight[truth][falling]
+    precise = np.flatnonzero(np.cumsum(right[falling] * counted) / np.cumsum(counted) >= ACCEPTED_PRECISION)
     least = float(sure[falling][precise[-1]]) if len(precise) else 1.0
-    return Model(languages, scores, bias, temperature, least)
+    return Model(languages, scores, bias + temperature * np.log(weight), temperature, least)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learns from at most sample_rows texts, chosen by a hash of id and text among all that may be learned from."""
+    """Learns from at most sample_rows different texts (one of each language at least), those of the least hashes in each language.
+
+    Copies count once in the sample and as often as they occur in the languages' shares.
+    """
     ready_workers(docs.sparkSession)
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.encode(F.col(text_col), "UTF-8").alias("data"))
-    # The draw is decided on hashes alone; the texts follow in a second pass.
-    drawn = known.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw").alias("last"), F.count("draw").alias("n")).first()
-    if not drawn.n:
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "") & ~held_out(F.col(id_col)))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("draw"), F.encode(F.col(text_col), "UTF-8").alias("data"))
+    totals = {row.lang: row["count"] for row in known.groupBy("lang").count().collect()}  # a row per language
+    if not totals:
         return None
+    # The draw is decided on hashes alone; the texts follow in a second pass. The limit is applied before rows are shuffled, too.
+    each = max(1, sample_rows // len(totals))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = known.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= each).select("lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals = _totals(batch.column(1), gram_counts, np.zeros(BUCKETS, np.int64))
-            kept = [row for row, total in enumerate(totals) if total.any()]
-            buckets = [np.flatnonzero(totals[row]) for row in kept]
-            shares = [(totals[row][found] / totals[row].sum()).astype("<f4").tobytes() for row, found in zip(kept, buckets)]
-            columns = [pa.array([found.astype("<u2").tobytes() for found in buckets], pa.binary()), pa.array(shares, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *columns], ["lang", "buckets", "shares"])
-
-    sample = known.where(F.col("draw") <= drawn.last).dropDuplicates(["draw"]).select("lang", "data")
-    rows = sample.mapInArrow(run, "lang string, buckets binary, shares binary").collect()
-    rows.sort(key=lambda row: (row.lang, bytes(row.buckets), bytes(row.shares)))  # training must not depend on arrival
+            kept, buckets, shares = [], [], []
+            for row, total in bucket_counts(batch.column(2)):
+                if total.any():
+                    found = np.flatnonzero(total)
+                    kept.append(row)
+                    buckets.append(found.astype("<u2").tobytes())
+                    shares.append((total[found] / total.sum()).astype("<f4").tobytes())
+            some = [batch.column(n).take(pa.array(kept, pa.int64())) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["lang", "draw", "buckets", "shares"])
+
+    sample = known.join(F.broadcast(drawn), ["lang", "draw"])  # sample_rows hashes, or one a language
+    sample = sample.groupBy("lang", "draw").agg(F.min("data").alias("data"))
+    rows = sample.mapInArrow(run, "lang string, draw long, buckets binary, shares binary").collect()
+    rows.sort(key=lambda row: (row.lang, row.draw))  # training must not depend on arrival
     features = np.zeros((len(rows), BUCKETS), np.float32)
     for n, row in enumerate(rows):
         features[n, np.frombuffer(row.buckets, "<u2")] = np.frombuffer(row.shares, "<f4")
-    return train(features, [row.lang for row in rows])
-
-
-def _totals(column: pa.Array, count, none: np.ndarray) -> list[np.ndarray]:
-    """Sums per row over the portions of its text."""
-    totals: list[np.ndarray | None] = [None] * len(column)
-    for rows, texts in portions(column):
-        for row, counts in zip(rows, count(texts)):
-            totals[row] = counts.copy() if totals[row] is None else totals[row] + counts
-    return [none if total is None else total for total in totals]
+    learned = sum(totals[lang] for lang in {row.lang for row in rows})
+    return train(features, [row.lang for row in rows], {lang: n / learned for lang, n in totals.items()})
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,17 +195,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sure = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            readable = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)) if model else []
-            if len(readable):
-                sums = np.zeros((batch.num_rows, len(model.languages)))
-                grams = np.zeros(batch.num_rows)
-                for some, texts in portions(batch.column(1)):
-                    counts = gram_counts(texts)
-                    np.add.at(sums, some, counts @ model.scores)
-                    np.add.at(grams, some, counts.sum(1))
-                chances = _softmax((sums / np.maximum(grams, 1)[:, None] + model.bias) / model.temperature)
-                for row in readable:
-                    names[row], sure[row] = model.languages[int(chances[row].argmax())], float(chances[row].max())
+            readable = batch.column(2).to_numpy(zero_copy_only=False)
+            for row, counts in bucket_counts(batch.column(1)) if model else ():
+                if readable[row]:
+                    chances = model.probabilities(counts)
+                    names[row], sure[row] = model.languages[int(chances.argmax())], float(chances.max())
             least = model.least if model else 1.0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array([bool(x < least) for x in sure], pa.bool_())],

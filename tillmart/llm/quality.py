@@ -3,8 +3,9 @@
 A document is a bag of passages of some words each; only the document is labelled. Every passage
 is encoded (shares of byte kinds and hashed byte trigrams, then a learned layer), gated attention
 weighs the passages, and the weighted passage representation is scored. Attention logits are
-bounded by their last layer, so their exponentials are summed portion by portion and a text of
-any length needs bounded memory.
+bounded by their last layer, so their exponentials are summed block by block and a text of
+any length needs bounded memory beside its bytes. Blocks are cut in each text by itself, at passages,
+so a text's features and score are the same, to the last bit, whatever rows lie beside it.
 """
 
 from collections.abc import Iterator
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillmart.llm import grams
 from tillmart.llm.common import crc32_of_id, ready_workers
-from tillmart.llm.grams import gram_buckets, joined, portions
+from tillmart.llm.grams import gram_buckets, gram_counts_of, joined, portions
 
 PASSAGE_WORDS = 50
 #: Labelled documents per class that training may use, and the longest of them in bytes; longer ones are only scored.
@@ -63,10 +65,49 @@ def passages(texts: list[bytes], words: int = PASSAGE_WORDS) -> tuple[np.ndarray
     bag = owner[np.flatnonzero(fresh)]
     kinds = np.bincount(passage * KINDS + _KIND[data], minlength=count * KINDS).reshape(count, KINDS)
     bucket, who = gram_buckets(data, passage, 3, GRAMS)
-    grams = np.bincount(who * GRAMS + bucket, minlength=count * GRAMS).reshape(count, GRAMS)
+    counts = np.bincount(who * GRAMS + bucket, minlength=count * GRAMS).reshape(count, GRAMS)
+    return _features(kinds, counts), bag
+
+
+def _features(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sizes = np.maximum(kinds.sum(1, keepdims=True), 1)
-    features = np.concatenate([np.sqrt(kinds / sizes) * 2, np.sqrt(grams / sizes) * 2], axis=1)
-    return features.astype(np.float32), bag
+    return np.concatenate([np.sqrt(kinds / sizes) * 2, np.sqrt(counts / sizes) * 2], axis=1).astype(np.float32)
+
+
+def passage_starts(text: bytes, words: int = PASSAGE_WORDS) -> list[int]:
+    """Where a text's passages begin, found some bytes at a time."""
+    data, found, starts, after_space = np.frombuffer(text, np.uint8), 0, [0], True
+    for at in range(0, len(data), grams.PORTION_BYTES):
+        white = _SPACE[data[at : at + grams.PORTION_BYTES]]
+        begins = np.flatnonzero(~white & np.append(after_space, white[:-1]))
+        number = found + np.arange(len(begins))
+        starts += (begins[(number > 0) & (number % words == 0)] + at).tolist()
+        found, after_space = found + len(begins), bool(white[-1])
+    return starts
+
+
+def bags(column: pa.Array, words: int = PASSAGE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, features of its passages in order) of a column of texts; a text longer than a portion comes in several blocks of passages."""
+    for rows, texts in portions(column):
+        if len(texts[0]) <= grams.PORTION_BYTES:
+            features, bag = passages(texts, words)
+            edges = np.searchsorted(bag, np.arange(len(texts) + 1))
+            yield from ((row, features[a:b]) for row, a, b in zip(rows, edges, edges[1:]))
+            continue
+        text, first = texts[0], 0
+        starts = [*passage_starts(text, words), len(text)]
+        for n, (start, behind) in enumerate(zip(starts, starts[1:])):
+            if behind - starts[first] > grams.PORTION_BYTES and n > first:
+                yield rows[0], passages([text[starts[first] : start]], words)[0]
+                first = n
+            if behind - start > grams.PORTION_BYTES:  # one passage, such as a very long word
+                data = np.frombuffer(text, np.uint8, behind - start, start)
+                parts = (data[at : at + grams.PORTION_BYTES] for at in range(0, len(data), grams.PORTION_BYTES))
+                kinds = sum(np.bincount(_KIND[part], minlength=KINDS) for part in parts)
+                yield rows[0], _features(kinds[None, :], gram_counts_of(data, 3, GRAMS)[None, :])
+                first = n + 1
+        if first < len(starts) - 1:
+            yield rows[0], passages([text[starts[first] :]], words)[0]
 
 
 class Model(NamedTuple):
@@ -86,7 +127,8 @@ class Model(NamedTuple):
         return hidden, np.exp((np.tanh(hidden @ self.v_layer) * _sigmoid(hidden @ self.u_layer)) @ self.w_layer)
 
     def score(self, sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return _sigmoid(sums / np.maximum(weights, 1e-30)[:, None] @ self.c_layer + self.c_bias[0])
+        means = sums / np.maximum(weights, 1e-30)[:, None]
+        return _sigmoid((means * self.c_layer).sum(1) + self.c_bias[0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,7 +192,7 @@ def fit(
 ) -> Model | float:
     """Learns from at most sample_rows documents of each label, drawn by a hash of the id among all that may be learned from.
 
-    Ids with contradicting labels are left out. With one label only, or none, the result is the
+    Ids with contradicting labels are left out; of texts that share an id the one of the least hash is learned from. With one label only, or none, the result is the
     share of ones (0.5 without labels), which is then every text's score.
     """
     ready_workers(docs.sparkSession)
@@ -167,21 +209,20 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for rows, texts in portions(batch.column(1)):
-                features, bag = passages(texts)
-                for n, row in enumerate(rows):
-                    bags[row].append(features[bag == n])
-            packed = [np.concatenate(found).astype("<f4").tobytes() for found in bags]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "label", "features"])
+            packed = [b""] * batch.num_rows
+            for row, features in bags(batch.column(1)):
+                packed[row] += features.astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], ["id", "label", "draw", "features"])
 
     id_type = texts.schema["id"].dataType.simpleString()
-    rows = texts.select("id", "data", "label").mapInArrow(run, f"id {id_type}, label int, features binary").dropDuplicates(["id"]).orderBy("id").collect()
+    texts = texts.select("id", "data", "label", F.xxhash64("data").alias("draw"))
+    rows = texts.mapInArrow(run, f"id {id_type}, label int, draw long, features binary")
+    rows = rows.groupBy("id").agg(F.min(F.struct("draw", "features", "label")).alias("one")).select("id", "one.*").orderBy("id").collect()
     if len({row.label for row in rows}) < 2:
         return prior
-    bags = [np.frombuffer(row.features, "<f4").reshape(-1, KINDS + GRAMS) for row in rows]
-    owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    return train(np.concatenate(bags), owner, np.array([row.label for row in rows], np.float64), prior)
+    learned = [np.frombuffer(row.features, "<f4").reshape(-1, KINDS + GRAMS) for row in rows]
+    owner = np.repeat(np.arange(len(learned)), [len(bag) for bag in learned])
+    return train(np.concatenate(learned), owner, np.array([row.label for row in rows], np.float64), prior)
 
 
 def scores(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
@@ -208,13 +249,11 @@ def _scored(rows: DataFrame, carried: str, model: Model | float, field: int | No
             else:
                 sums, weights = np.zeros((count, HIDDEN)), np.zeros(count)
                 texts = batch.column(1) if field is None else pc.struct_field(batch.column(0), field)
-                for some, texts in portions(texts.cast(pa.binary())):
-                    features, bag = passages(texts)
+                for row, features in bags(texts.cast(pa.binary())):  # each text by itself: a product's last bits depend on its shape
                     hidden, power = model.weighed(features)
-                    owner = np.array(some)[bag]
-                    np.add.at(sums, owner, hidden * power[:, None])
-                    np.add.at(weights, owner, power)
-                    np.add.at(number, owner, 1)
+                    sums[row] += power @ hidden
+                    weights[row] += power.sum()
+                    number[row] += len(features)
                 bare = weights == 0
                 hidden, power = model.weighed(empty)
                 sums[bare], weights[bare] = hidden * power[:, None], power
