@@ -26,8 +26,9 @@ from tillmart.llm.common import ready_workers
 
 #: Characters of text taken at a time, cut before white space, so that a very long text needs bounded memory.
 CHUNK_CHARS = 1 << 20
-#: Pieces remembered by a worker; the longest words merged side by side, and the leaves of their trees in all.
-REMEMBERED, SIDE_BY_SIDE, TREE_CELLS = 250_000, 64, 1 << 18
+#: Pieces remembered by a worker, and the most characters of one (250,000 pieces of 48 characters take some 100 MB);
+#: the longest words merged side by side, and the leaves of their trees in all.
+REMEMBERED, REMEMBERED_CHARS, SIDE_BY_SIDE, TREE_CELLS = 250_000, 48, 64, 1 << 18
 NEVER = np.int64(1 << 62)
 
 #: Fixed value: white space as byte-level split patterns know it (Unicode White_Space).
@@ -236,6 +237,9 @@ class Vocabulary:
         coded = [
             b"".join([part[0].to_bytes(4, "little") if n % 2 else b"".join(map(recall, part)) for n, part in enumerate(parts)]) for parts in pieces
         ]
+        for piece in new:
+            if len(piece) > REMEMBERED_CHARS:
+                del self.known[piece]
         while len(self.known) > REMEMBERED:
             for old in [old for _, old in zip(range(REMEMBERED // 2), self.known)]:
                 del self.known[old]
