@@ -42,9 +42,10 @@ def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree of sources and languages."""
+    """The documents as files of a tree of sources and languages. A row without id is named by its text; none is named like a licence file, so none inherits."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce("text", F.lit("")))))
+    path = F.concat_ws("/", "source", "lang", F.concat(name, F.lit(".txt")))
     return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
 
 
