@@ -140,3 +140,10 @@ def best_fit_sequences(lengths, capacity):
             spaces.remove(space)
         spaces.append(space - length)
     return len(spaces)
+
+
+def line_runs(lines, speaks, most=3):
+    """(first line, lines, text) of every run of adjacent lines whose first and last line say something."""
+    return [
+        (n, size, " ".join(lines[n : n + size])) for size in range(1, most + 1) for n in range(len(lines) - size + 1) if speaks(lines[n]) and speaks(lines[n + size - 1])
+    ]

@@ -1,9 +1,13 @@
 """The registered queries against their statements, and the pipeline against a plain version."""
 
+import math
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -11,7 +15,7 @@ from tests.compare import actual, duck, expected
 from tests.conftest import SF_DIR
 from tests.llm import plain
 from tests.llm.test_operators import CLASHING, frame, rows_of
-from tillmart.llm import quality, queries
+from tillmart.llm import licenses, quality, queries
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
@@ -38,8 +42,42 @@ def test_bpe_query(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.bpe_digests(spark, SF_DIR).collect()} == want
 
 
+def test_license_query(spark):
+    """Every row's finding against cosines computed plainly over the whole table."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    found = Counter(word for row in docs for word in set(licenses.words_of(row.text or "")))
+    unknown = licenses.rarity(len(docs), 0)
+
+    def cosines(text, rare, vectors, times):
+        weights = {word: times(n) * rare.get(word, unknown) for word, n in Counter(licenses.words_of(text)).items()}
+        length = sum(weight**2 for weight in weights.values()) ** 0.5
+        return {name: round(sum(weight * vector.get(word, 0) for word, weight in weights.items()) / length, 9) if length else 0 for name, vector in vectors.items()}
+
+    long = {f"{name}\0{n}": text for name, some in sorted(licenses.full_texts().items()) for n, text in enumerate(some)}
+    short = (*licenses.weigh(licenses.TEMPLATES, len(docs), found), float)
+    full = (*licenses.weigh(long, len(docs), found, lambda n: 1 + math.log(n)), lambda n: 1 + math.log(n))
+    want = {}
+    for row in docs:
+        lines = (row.text or "").split("\n")
+        units = [(-1, 0, row.text or ""), *plain.line_runs(lines, lambda line: not short[0].keys().isdisjoint(licenses.words_of(line)))]
+        fits = [(score, -pos, -size, -rank, name) for pos, size, unit in units for rank, (name, score) in enumerate(sorted(cosines(unit, *short).items())) if score >= 0.6]
+        fits += [(score, 1, 0, -rank - len(licenses.TEMPLATES), name.partition("\0")[0]) for rank, (name, score) in enumerate(sorted(cosines(row.text or "", *full).items())) if score >= 0.6]
+        best = max(fits, default=None)
+        want[row.doc_id] = best and (best[4], -best[1], best[0])
+    got = queries.license_scan(spark, SF_DIR).collect()
+    assert len(got) == len(docs) and sum(best is not None for best in want.values()) >= 3
+    for r in got:
+        best = want[r.doc_id]
+        assert r.inherited_from is None and r.license == r.own_license and (r.own_license is None) == (best is None)
+        assert best is None or ((r.own_license, r.own_line) == best[:2] and abs(r.own_score - best[2]) < 1e-6)
+
+
 def test_sharding_query(spark):
     rows = queries.jump_shards(spark, SF_DIR).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    keys = {doc_id: xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42) for doc_id in texts}
+    want = {doc_id: (len(data) + 8, zlib.crc32(data), plain.jump(keys[doc_id], 24), plain.jump(keys[doc_id], 25)) for doc_id, data in texts.items()}
+    assert {r.doc_id: (r["size"], r.text_crc32, r.shard, r.grown_shard) for r in rows} == want
     assert len(rows) == 200 and {r.shard for r in rows} <= set(range(24)) and all(r.grown_shard in (r.shard, 24) for r in rows)
     assert all(sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows))) for shard in range(24))
 
@@ -92,7 +130,10 @@ def test_stages_take_anything(spark, tmp_path):
             if "line" in name:
                 assert sum(left.values()) == len(rows)
             elif "simhash" in name:
-                assert max(Counter(doc_id for doc_id, _ in left.elements()).values()) == 1
+                bits = [plain.fingerprint(row[1]) for row in rows]
+                roots = plain.components(bits)
+                of = {(row[0], row[1]): root for row, root in zip(rows, roots)}
+                assert sorted(of[key] for key in left.elements()) == sorted(set(roots))  # one row of each component
             else:
                 assert not left - Counter((row[0], row[1]) for row in rows)
         else:
