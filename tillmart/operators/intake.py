@@ -19,7 +19,7 @@ from tillmart.operators.cleaning import CleanBatch, UnknownLayout, clean_batch,
 from tillmart.operators.numbering import number_file_rows
 from tillmart.operators.staging import staging_scope
 from tillmart.schemas import AMOUNT, CANONICAL_COLUMNS, ISSUE, NUMERIC_DEFAULTS
-from tillmart.sources.flat_file import first_line, list_files, parts_differ, read_flat_csv, read_header
+from tillmart.sources.flat_file import files_left_open, first_line, list_files, parts_differ, read_flat_parts, read_header
 from tillmart.sources.store import BULK, StarStore
 
 
@@ -32,6 +32,9 @@ FILES_PER_COMMIT = 500
 BEYOND = "_beyond IS NOT NULL"
 TOO_WIDE = "a line has more fields than the header has columns"
 
+OPEN_QUOTE = "a quote is open at the end of a line"
+UNCLOSED = "a quote is still open at the end of the file"
+
 OTHER_HEADER = "the parts of the folder begin with different header lines"
 
 # Refuses a batch, whatever its score: an amount would be lost in the store.
@@ -79,7 +82,12 @@ def _read_rows(store: StarStore, path: str, multi_line: bool) -> DataFrame:
     """Numbered rows of a file or folder, if its columns can be told apart."""
     if parts_differ(store.spark, path):
         raise UnknownLayout(OTHER_HEADER)
-    raw = number_file_rows(read_flat_csv(store.spark, path, multi_line=multi_line))
+    if not multi_line and not files_left_open(store.spark, path).isEmpty():
+        raise UnknownLayout(OPEN_QUOTE)
+    rows, unclosed = read_flat_parts(store.spark, path, multi_line=multi_line)
+    if unclosed:
+        raise UnknownLayout(UNCLOSED)
+    raw = number_file_rows(rows)
     if not raw.where(BEYOND).isEmpty():
         raise UnknownLayout(TOO_WIDE)
     return raw
@@ -101,14 +109,25 @@ def read_submissions(
     """
     spark = store.spark
     by_line = defaultdict(list)
+    refused = {}
+    if not multi_line:
+        open_files = {row._file for row in files_left_open(spark, [s.path for s in submissions]).collect()}  # some of the submissions
+        refused = {s.batch_key: OPEN_QUOTE for s in submissions if s.file_id in open_files}
     for submission in submissions:
+        if submission.batch_key in refused:
+            continue
         # A header with line breaks inside quotes is read whole by Spark.
         line = read_header(spark, submission.path, multi_line) if multi_line else [first_line(spark, submission.path)]
         by_line[tuple(line)].append(submission)
-    parts, unreadable, cleaned = [], {}, {}
+    parts, unreadable, cleaned = [], refused, {}
     for members in by_line.values():
         header = read_header(spark, members[0].path, multi_line)
-        raw = number_file_rows(read_flat_csv(spark, [m.path for m in members], header, multi_line), per_file=True)
+        rows, unclosed = read_flat_parts(spark, [m.path for m in members], header, multi_line)
+        unreadable.update({m.batch_key: UNCLOSED for m in members if m.file_id in unclosed})
+        members = [m for m in members if m.file_id not in unclosed]
+        if not members:
+            continue
+        raw = number_file_rows(rows, per_file=True)
         keys = spark.createDataFrame([(m.file_id, m.batch_key) for m in members], "_file string, batch_key string")
         # A file id that matches no submission is a mistake of the caller: fail, do not lose the rows.
         known = F.coalesce("batch_key", F.raise_error(F.concat(F.lit("no submission for "), "_file")))

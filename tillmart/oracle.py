@@ -411,6 +411,10 @@ SELECT CAST(order_id AS VARCHAR) AS order_no, {_NAME.format(null='NULL')} AS buy
        CASE WHEN product_id % 11 = 0 THEN NULL ELSE CAST(product_id AS VARCHAR) END AS item_id,
        CASE WHEN product_id % 2 = 0 THEN NULL ELSE ' NA' END AS zip,
        CASE WHEN product_id % 13 = 0 THEN NULL ELSE category END AS category, 'Rep ' || l_suppkey AS rep FROM flat"""),
+    "read_quoted_csv": """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_no, o_orderstatus AS state,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'said "' || o_orderkey || '",' || chr(10) || 'then ' || o_orderpriority || chr(10)
+            WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS note FROM orders""",
     "normalize_null_tokens": """
 SELECT CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN ' NA' WHEN 3 THEN NULL WHEN 4 THEN 'nil' WHEN 5 THEN NULL ELSE l_returnflag END AS value,
        COUNT(*) AS rows FROM lineitem GROUP BY 1""",

@@ -177,6 +177,18 @@ def read_flat_csv_rows(spark, sf_dir):
     return rows.select(*[F.col(f"`{header}`").alias(name) for header, name in names.items()])
 
 
+@query
+def read_quoted_csv(spark, sf_dir):
+    """Values with line breaks, commas and quotes, written as CSV parts and read back."""
+    path = scratch_path(spark, "quoted")
+    number, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    said = F.concat(F.lit('said "'), number.cast("string"), F.lit('",\nthen '), priority, F.lit("\n"))
+    note = F.when(number % 3 == 0, said).when(number % 5 != 0, priority)
+    write_csv(sample_tables.table(spark, sf_dir, "orders").select(number.alias("Order No"), note.alias("Note"), F.col("o_orderstatus").alias("State")), path)
+    rows = read_flat_csv(spark, path, multi_line=True)
+    return rows.select(F.col("Order No").alias("order_no"), F.col("Note").alias("note"), F.col("State").alias("state"))
+
+
 @query
 def normalize_null_tokens(spark, sf_dir):
     lines = sample_tables.sale_lines(spark, sf_dir)
