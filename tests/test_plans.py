@@ -123,8 +123,15 @@ def test_observed_funnel_against_a_loop(spark):
                 break
             reached = min(later)
             want[kind] += 1
-    for salts in (1, 16):
-        assert {row.stage: row.users for row in funnel.observed_funnel(frame, salts=salts).collect()} == want
+    odd = spark.createDataFrame([(1, None, 50, "view"), (2, 5, None, "view"), (3, 5, 51, None)], frame.schema)
+    for seconds in (1, 7, 100_000):
+        assert {row.stage: row.users for row in funnel.observed_funnel(frame.unionByName(odd), slice_seconds=seconds).collect()} == want
+    assert [row.users for row in funnel.observed_funnel(frame.where("false")).collect()] == [0] * 4
+
+
+def test_observed_funnel_reads_the_events_once(spark):
+    plan = plan_of(QUERIES["observed_funnel"](spark, SF_DIR))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "explode" not in plan.lower()
 
 
 def test_hot_keys_give_the_same_totals(spark, star):

@@ -1,6 +1,6 @@
 """Conversion funnels: estimated from orders, and observed on an event log."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,37 +67,44 @@ def funnel_steps(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
     )
 
 
+def _transfer(events: Column, stages: tuple[str, ...]) -> Column:
+    """For each stage reached before (0: none) the stage reached behind the events, which are (ts, event_type) in order of time."""
+    wanted = F.array(*map(F.lit, stages))
+
+    def behind(start: int) -> Column:
+        state = F.struct(F.lit(start).alias("stage"), F.lit(None).cast("timestamp").alias("at"))
+
+        def step(state: Column, event: Column) -> Column:
+            # An event at the very time at which the stage before was reached does not count.
+            moves = (F.get(wanted, state["stage"]) == event["event_type"]) & (state["at"].isNull() | (event["ts"] > state["at"]))
+            moved = F.struct((state["stage"] + 1).alias("stage"), event["ts"].alias("at"))
+            return F.when(F.coalesce(moves, F.lit(False)), moved).otherwise(state)
+
+        return F.aggregate(events, state, step)["stage"]
+
+    return F.array(*(behind(start) for start in range(len(stages))))
+
+
 def observed_funnel(
     events: DataFrame,
     stages: tuple[str, ...] = ("view", "click", "signup", "purchase"),
-    salts: int = 16,
+    slice_seconds: int = 3600,
 ) -> DataFrame:
     """Users reaching each event type in order, each by its earliest event after the stage before.
 
-    A user's events are never gathered. They are spread over ``salts`` buckets that each
-    meet a copy of the user's single "reached at" row, and the earliest time is taken in
-    two steps, so a user with a third of all events costs a bucket, not a task.
+    The events are read and shuffled once, by user and slice of time. What a slice does to a user is
+    a map from the stage reached before it to the stage reached behind it; such maps are composed in
+    order of time, so a user's events are never gathered, only one short map for each slice in which
+    the user was seen. A user with a third of all events is spread over all slices.
+    Rows without user, time or one of the stages play no part.
     """
-    spread = events.select(
-        "user_id", "event_type", "ts", F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt")
-    )
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    reached = spread.where(F.col("event_type") == stages[0]).groupBy("user_id").agg(F.min("ts").alias("reached_at"))
-    counts = []
-    for number, stage in enumerate(stages, start=1):
-        if number > 1:
-            here = spread.where(F.col("event_type") == stage)
-            before = reached.select("user_id", "reached_at", every_salt)
-            reached = (
-                here.join(before, ["user_id", "salt"])
-                .where(F.col("ts") > F.col("reached_at"))
-                .groupBy("user_id", "salt")
-                .agg(F.min("ts").alias("ts"))
-                .groupBy("user_id")
-                .agg(F.min("ts").alias("reached_at"))
-            )
-        counts.append(reached.agg(F.count(F.lit(1)).alias("users")).select(F.lit(number).alias("step"), F.lit(stage).alias("stage"), "users"))
-    result = counts[0]
-    for row in counts[1:]:
-        result = result.unionByName(row)
-    return result
+    ts = F.col("ts").cast("timestamp")
+    seen = events.where(F.col("event_type").isin(*stages) & F.col("user_id").isNotNull()).select("user_id", "event_type", ts.alias("ts")).where("ts IS NOT NULL")
+    sliced = seen.groupBy("user_id", F.floor(F.unix_micros("ts") / (slice_seconds * 1_000_000)).alias("slice"))
+    sliced = sliced.agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("events"))
+    maps = sliced.select("user_id", "slice", F.get(F.transform(F.array("events"), lambda some: _transfer(some, stages)), F.lit(0)).alias("map"))
+    users = maps.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("slice", "map"))).alias("maps"))
+    reached = F.aggregate("maps", F.lit(0), lambda stage, one: F.coalesce(F.get(one["map"], stage), stage))  # beyond the last stage no map changes it
+    counts = users.select(reached.alias("reached")).agg(*(F.count_if(F.col("reached") >= number).alias(f"n{number}") for number in range(1, len(stages) + 1)))
+    rows = [F.struct(F.lit(number).alias("step"), F.lit(stage).alias("stage"), F.col(f"n{number}").alias("users")) for number, stage in enumerate(stages, start=1)]
+    return counts.select(F.inline(F.array(*rows)))
