@@ -525,3 +525,5 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, ev
        {_d('SUM(CAST(value AS DECIMAL(18,4)))')} AS value FROM events GROUP BY 1, 2""",
     "observed_funnel": _observed(),
 }
+
+ORACLE["compacted_table_sizes"] = ORACLE["table_sizes"]

@@ -13,7 +13,7 @@ from tillmart.operators import batch_log, cleaning, intake, integrity, merge, no
 from tillmart.operators.staging import scratch_path
 from tillmart.plans import cohorts, funnel, measures, overview, questions, rankings, trends
 from tillmart.plans.star import Slice, Star
-from tillmart.schemas import CANONICAL_COLUMNS
+from tillmart.schemas import CANONICAL_COLUMNS, ISSUE
 from tillmart.sources import sample_tables, sample_uploads
 from tillmart.sources.flat_file import read_flat_csv, write_csv
 from tillmart.sources.sample_uploads import AS_OF
@@ -478,6 +478,22 @@ star_query("integrity_classes", lambda star: integrity.classified(integrity.inte
 star_query("table_sizes", lambda star: integrity.table_sizes(star))
 
 
+@query
+def compacted_table_sizes(spark, sf_dir):
+    """Four commits merged into one generation."""
+    star, store = sample_tables.star(spark, sf_dir), StarStore(spark, scratch_path(spark, "store"))
+    for part in range(4):
+        rows = star.with_tables(
+            customers=star.customers.where(F.col("customer_id") % 4 == part), products=star.products.where(F.col("product_id") % 4 == part),
+            locations=star.locations.where(F.col("location_id") % 4 == part), orders=star.orders.where(F.col("order_id") % 4 == part),
+            order_items=star.order_items.where(F.col("order_id") % 4 == part),
+        )
+        entry = spark.createDataFrame([(f"b{part}", 1, [], 100.0, "Accepted", 1, 0)], f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint")
+        store.commit(rows, batch_log.log_entries(entry, AS_OF, part), f"part-{part}")
+    store.compact()
+    return integrity.table_sizes(store.star())
+
+
 # --- events --------------------------------------------------------------------------
 
 

@@ -5,10 +5,16 @@ Parquet has no transaction over several tables, so each append is written under
 keep the partitions named in the log, so a half-written append is never seen. The log row
 of a bulk load also hides every commit logged before it, so a load replaces all tables in
 that one write. One writer at a time is assumed.
+
+Many small commits are merged now and then into one generation: the visible rows and the log are
+written again under one key, a row in ``generations`` makes readers use that key in the place of
+all commits up to a batch id, and only then are the commits' folders deleted.
 """
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tillmart.operators.staging import remove_path
@@ -18,6 +24,9 @@ from tillmart.sources.flat_file import write_csv
 
 COMMIT = "commit_key"
 LOG = "ingestion_log"
+GENERATIONS = "generations"
+#: Keys of generations begin with this.
+COMPACTED = "compacted-"
 #: Batch keys of bulk loads begin with this.
 BULK = "bulk-load-"
 
@@ -40,9 +49,22 @@ class StarStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def log(self) -> DataFrame:
+    def _generation(self) -> Row | None:
+        """The generation that readers use: the newest one with a row of its own."""
+        return self._read(GENERATIONS, f"number bigint, upto bigint, {COMMIT} string").orderBy(F.desc("number")).first()
+
+    def _written_log(self) -> DataFrame:
+        """All log rows there are, those that a generation has copied twice."""
         return self._read(LOG, _with_commit(INGESTION_LOG))
 
+    def log(self) -> DataFrame:
+        """The log rows; those of a generation carry its key."""
+        key, generation = F.col(COMMIT), self._generation()
+        own = ~key.startswith(COMPACTED)
+        if generation is None:
+            return self._written_log().where(own)
+        return self._written_log().where((key == generation[COMMIT]) | (own & (F.col("batch_id") > generation.upto)))
+
     def _current_log(self) -> DataFrame:
         """The log from the last bulk load on."""
         log = self.log()
@@ -102,6 +124,49 @@ class StarStore:
                 self._append(rows, name, STAR_SCHEMAS[name], commit_key)
         self._append(log_entries, LOG, INGESTION_LOG, commit_key)
 
+    def compact(self) -> str | None:
+        """Write all visible rows and the whole log as one generation; returns its key, or None when there are not two commits to merge.
+
+        A failure before the generation's own row leaves the commits as they are; one after it leaves
+        folders that no reader uses. Both are cleaned up by the next call. A query that began
+        before a call may find its folders gone and has to be run again.
+        """
+        self._remove_unused()
+        log = self.log()
+        state = log.agg(F.max("batch_id").alias("upto"), F.count_distinct(COMMIT).alias("commits")).first()
+        if state.commits < 2:
+            return None
+        key, last = COMPACTED + uuid.uuid4().hex, self._generation()
+        for name, rows in self.star().tables().items():
+            self._append(rows, name, STAR_SCHEMAS[name], key)
+        self._append(log, LOG, INGESTION_LOG, key)
+        mark = self.spark.createDataFrame([(last.number + 1 if last else 1, state.upto)], "number bigint, upto bigint")
+        self._append(mark, GENERATIONS, mark.schema, key)
+        self._remove_unused()
+        return key
+
+    def _remove_unused(self) -> None:
+        """Delete commits that the generation covers and generations that were replaced or never finished."""
+        generation = self._generation()
+        if generation is not None:
+            own = self._written_log().where(~F.col(COMMIT).startswith(COMPACTED) & (F.col("batch_id") <= generation.upto))
+            for row in own.select(COMMIT).distinct().collect():  # before the files it is read from go
+                self._remove(row[COMMIT])
+        for key in self._generation_keys():
+            if generation is None or key != generation[COMMIT]:
+                self._remove(key)
+
+    def _generation_keys(self) -> list[str]:
+        """Keys of all generations that have a folder."""
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/{COMMIT}={COMPACTED}*")
+        found = paths.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(paths) or ()
+        return sorted({status.getPath().getName().partition("=")[2] for status in found})
+
+    def _remove(self, key: str) -> None:
+        """Delete a commit's folders, the log's last: while it is there, the others can be found again."""
+        for name in (*STAR_SCHEMAS, GENERATIONS, LOG):
+            remove_path(self.spark, f"{self.path}/{name}/{COMMIT}={key}")
+
     def export_csv(self, folder: str) -> None:
         """Each table as a folder of CSV files, for tools that import them."""
         for name, rows in self.star().tables().items():
