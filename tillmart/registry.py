@@ -486,7 +486,7 @@ def compacted_table_sizes(spark, sf_dir):
         rows = star.with_tables(
             customers=star.customers.where(F.col("customer_id") % 4 == part), products=star.products.where(F.col("product_id") % 4 == part),
             locations=star.locations.where(F.col("location_id") % 4 == part), orders=star.orders.where(F.col("order_id") % 4 == part),
-            order_items=star.order_items.where(F.col("order_id") % 4 == part),
+            order_items=star.order_items.where(F.col("order_id") % 4 == part).withColumn("order_item_id", F.monotonically_increasing_id()),
         )
         entry = spark.createDataFrame([(f"b{part}", 1, [], 100.0, "Accepted", 1, 0)], f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint")
         store.commit(rows, batch_log.log_entries(entry, AS_OF, part), f"part-{part}")
