@@ -385,6 +385,9 @@ FROM f_items JOIN f_orders USING (order_id) GROUP BY f_orders.order_date ORDER B
     "bi_measures_by_category": _star(
         f"SELECT category, {_MEASURES} FROM facts LEFT JOIN d_products USING (product_id) WHERE sales IS NOT NULL GROUP BY 1", _FACTS
     ),
+    "bi_measures_by_category_sliced": _star(
+        f"SELECT category, {_MEASURES} FROM facts LEFT JOIN d_products USING (product_id) WHERE sales IS NOT NULL AND {_IN_SLICE} GROUP BY 1", _FACTS
+    ),
     "bi_orders_by_category": _star("""
 SELECT category, COUNT(DISTINCT o.order_id) AS order_count
 FROM f_items i JOIN d_products USING (product_id) JOIN f_orders o ON i.order_id = o.order_id GROUP BY 1"""),
@@ -504,7 +507,7 @@ SELECT (SELECT COUNT(*) FROM flat WHERE order_id % 10 <> 0) + row_number() OVER
   CAST(SUM(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY batch_key) AS BIGINT) AS checks_passed FROM issue"""),
     "batch_disposition": _gate(_disposed("hold")),
     "batch_disposition_forced": _gate(_disposed("merge")),
-    "log_batch": _gate(f"""SELECT batch_id, batch_key, batch_key AS filename, row_count, status, health_score, {_ISSUES_JSON} AS issues_json,
+    "log_batch": _gate(f"""SELECT '2000-06-30 12:34:00' AS submitted_at, batch_id, batch_key, batch_key AS filename, row_count, status, health_score, {_ISSUES_JSON} AS issues_json,
   CASE WHEN status = 'Accepted' THEN row_count ELSE 0 END AS accepted_rows,
   CASE WHEN status = 'Accepted' THEN 0 ELSE row_count END AS rejected_rows FROM judged"""),
     "batch_history": _gate("SELECT batch_id, batch_key AS filename, status, health_score FROM judged ORDER BY batch_id DESC LIMIT 50"),

@@ -61,15 +61,28 @@ def measures(star: Star, by: str | None = None, scope: Slice = EVERYTHING) -> Da
     return _measures(grouped).orderBy(F.desc("total_sales"), by)
 
 
-def measures_by_category(star: Star) -> DataFrame:
+def scoped_orders(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
+    """Ids of the orders that pass the filters."""
+    orders = scope.orders(star.orders)
+    if scope.market is not None:
+        orders = orders.join(scope.locations(star.locations).select("location_id"), "location_id", "left_semi")
+    if scope.segment is not None:
+        orders = orders.join(scope.customers(star.customers).select("customer_id"), "customer_id", "left_semi")
+    return orders.select("order_id")
+
+
+def measures_by_category(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
     """Measures per product category. An item filter also restricts the orders counted.
 
     Distinct (category, order) pairs are counted, so a large category spreads over all
-    tasks, and a large order is one row per category and input partition.
+    tasks, and a large order is one row per category and input partition. With a filter, items
+    are reduced to those of the orders that pass before anything is summed.
     """
-    named = star.order_items.join(star.products.select("product_id", "category"), "product_id", "left")
+    orders = scoped_orders(star, scope)
+    items = star.order_items if scope == EVERYTHING else star.order_items.join(orders, "order_id", "left_semi")
+    named = items.join(star.products.select("product_id", "category"), "product_id", "left")
     pairs = named.groupBy("category", "order_id").agg(*total("sales", "profit"))
-    known = star.orders.select("order_id", F.lit(1).alias("is_order"))
+    known = orders.select("order_id", F.lit(1).alias("is_order"))
     sums = pairs.join(known, "order_id", "left").groupBy("category").agg(
         F.sum("sales").alias("total_sales"), F.sum("profit").alias("total_profit"), F.count("is_order").alias("order_count")
     )

@@ -107,6 +107,7 @@ star_query("bi_measures_by_market", lambda star: measures.measures(star, "market
 star_query("bi_measures_by_month", lambda star: measures.measures(star, "year_month"))
 star_query("bi_measures_by_customer", lambda star: measures.measures(star, "customer_name"))
 star_query("bi_measures_by_category", measures.measures_by_category)
+star_query("bi_measures_by_category_sliced", lambda star: measures.measures_by_category(star, SLICE))
 star_query("bi_orders_by_category", measures.orders_by_category)
 
 
@@ -428,7 +429,7 @@ def _log(scores: DataFrame) -> DataFrame:
     return batch_log.log_entries(quality.disposition(scores), AS_OF)
 
 
-batch_query("log_batch", lambda scores: _log(scores).drop("submitted_at"))
+batch_query("log_batch", _log)
 batch_query("batch_history", lambda scores: batch_log.history(_log(scores)).select("batch_id", "filename", "status", "health_score"))
 batch_query(
     "batch_history_table",
