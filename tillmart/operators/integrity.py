@@ -85,12 +85,16 @@ def _orphans(star: Star) -> DataFrame:
     return counts.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
 
 
-def _date_range(star: Star) -> DataFrame:
-    text = F.concat(
-        F.lit("Orders from "), F.coalesce(F.min("order_date").cast("string"), F.lit("None")),
-        F.lit(" to "), F.coalesce(F.max("order_date").cast("string"), F.lit("None")),
-        F.lit(" ("), F.format_number(F.count(F.lit(1)), 0), F.lit(" total)"),
+def range_text(first: Column, last: Column, rows: Column) -> Column:
+    return F.concat(
+        F.lit("Orders from "), F.coalesce(first.cast("string"), F.lit("None")),
+        F.lit(" to "), F.coalesce(last.cast("string"), F.lit("None")),
+        F.lit(" ("), F.format_number(rows, 0), F.lit(" total)"),
     )
+
+
+def _date_range(star: Star) -> DataFrame:
+    text = range_text(F.min("order_date"), F.max("order_date"), F.count(F.lit(1)))
     return _row(star.orders.agg(text.alias("desc")), "Date Range", F.col("desc"), F.lit(0), "info")
 
 

@@ -530,3 +530,4 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, ev
 }
 
 ORACLE["compacted_table_sizes"] = ORACLE["table_sizes"]
+ORACLE["integrity_after_commits"] = ORACLE["integrity_checks"]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tillmart.functions.numbers import parse_amount, parse_number
 from tillmart.functions.text import null_if_token
 from tillmart.operators import batch_log, cleaning, intake, integrity, merge, normalise, quality
+from tillmart.operators.integrity_ledger import IntegrityLedger
 from tillmart.operators.staging import scratch_path
 from tillmart.plans import cohorts, funnel, measures, overview, questions, rankings, trends
 from tillmart.plans.star import Slice, Star
@@ -479,22 +480,43 @@ star_query("integrity_classes", lambda star: integrity.classified(integrity.inte
 star_query("table_sizes", lambda star: integrity.table_sizes(star))
 
 
+def _commit(store: StarStore, rows: Star, number: int) -> None:
+    entry = f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint"
+    entries = store.spark.createDataFrame([(f"b{number}", 1, [], 100.0, "Accepted", 1, 0)], entry)
+    rows = rows.with_tables(order_items=rows.order_items.withColumn("order_item_id", F.monotonically_increasing_id()))
+    store.commit(rows, batch_log.log_entries(entries, AS_OF, number), f"part-{number}")
+
+
+def _third(star: Star, customers: int, products: int, orders: int, items: int) -> Star:
+    """One third of each table, by its key; locations come with the first third of the orders."""
+    return Star(
+        customers=star.customers.where(F.col("customer_id") % 3 == customers), products=star.products.where(F.col("product_id") % 3 == products),
+        locations=star.locations.where(F.lit(orders == 0)), orders=star.orders.where(F.col("order_id") % 3 == orders),
+        order_items=star.order_items.where(F.col("order_id") % 3 == items),
+    )
+
+
 @query
 def compacted_table_sizes(spark, sf_dir):
-    """Four commits merged into one generation."""
-    star, store = sample_tables.star(spark, sf_dir), StarStore(spark, scratch_path(spark, "store"))
-    for part in range(4):
-        rows = star.with_tables(
-            customers=star.customers.where(F.col("customer_id") % 4 == part), products=star.products.where(F.col("product_id") % 4 == part),
-            locations=star.locations.where(F.col("location_id") % 4 == part), orders=star.orders.where(F.col("order_id") % 4 == part),
-            order_items=star.order_items.where(F.col("order_id") % 4 == part).withColumn("order_item_id", F.monotonically_increasing_id()),
-        )
-        entry = spark.createDataFrame([(f"b{part}", 1, [], 100.0, "Accepted", 1, 0)], f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint")
-        store.commit(rows, batch_log.log_entries(entry, AS_OF, part), f"part-{part}")
+    """Three commits merged into one generation."""
+    store = StarStore(spark, scratch_path(spark, "store"))
+    for part in range(3):
+        _commit(store, _third(sample_tables.star(spark, sf_dir), part, part, part, part), part)
     store.compact()
     return integrity.table_sizes(store.star())
 
 
+@query
+def integrity_after_commits(spark, sf_dir):
+    """Checks kept up to date over three commits; some keys come before, some after the rows that refer to them."""
+    store = StarStore(spark, scratch_path(spark, "store"))
+    ledger = IntegrityLedger(store)
+    for part in range(3):
+        _commit(store, _third(_damaged(sample_tables.star(spark, sf_dir)), part, 2 - part, part, (part + 1) % 3), part)
+        ledger.update()
+    return ledger.checks()
+
+
 # --- events --------------------------------------------------------------------------
 
 

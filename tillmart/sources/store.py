@@ -83,12 +83,19 @@ class StarStore:
 
     def _committed_keys(self) -> DataFrame:
         """One short key per commit. A plain join would send the rows of a large commit to one task."""
-        keys = self._current_log().select(COMMIT).distinct()
+        keys = self.commit_keys()
         return F.broadcast(keys) if keys.count() <= BROADCAST_COMMITS else keys
 
+    def commit_keys(self) -> DataFrame:
+        """The commits whose rows are visible."""
+        return self._current_log().select(COMMIT).distinct()
+
+    def written(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of the commits, with their key. The keys also prune the partitions that are read."""
+        return self._read(name, _with_commit(STAR_SCHEMAS[name])).join(keys, COMMIT, "left_semi")
+
     def _committed(self, name: str, keys: DataFrame) -> DataFrame:
-        """Committed rows. The keys also prune the partitions that are read."""
-        return self._read(name, _with_commit(STAR_SCHEMAS[name])).join(keys, COMMIT, "left_semi").drop(COMMIT)
+        return self.written(name, keys).drop(COMMIT)
 
     def table(self, name: str) -> DataFrame:
         return self._committed(name, self._committed_keys())
