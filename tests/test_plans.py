@@ -85,6 +85,43 @@ def test_caller_sql_can_only_read(spark, star):
     assert spark.catalog.tableExists("tp_orders")
 
 
+def test_caller_sql_reads_views_and_runs_nothing_else(spark, star, tmp_path):
+    questions.register_views(star, "tq_")
+    folder = str(tmp_path / "rows")
+    spark.range(3).write.parquet(folder)
+    spark.udf.register("tq_foreign", lambda value: value)
+    refused = (
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT order_id FROM tq_orders WHERE reflect('java.lang.System', 'getProperty', 'user.dir') = '/'",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir')",
+        f"SELECT * FROM parquet.`{folder}`",
+        f"SELECT count(*) FROM tq_orders WHERE order_id IN (SELECT id FROM parquet.`{folder}`)",
+        f"WITH x AS (SELECT id FROM parquet.`{folder}`) SELECT * FROM x",
+        "SELECT tq_foreign(order_id) FROM tq_orders",
+        "SELECT upper(java_method('java.lang.System', 'getProperty', order_priority)) AS p FROM tq_orders ORDER BY p",
+        "SELECT input_file_name() FROM tq_customers",
+    )
+    for text in refused:
+        rows, message = questions.run_select(spark, text)
+        assert rows is None and "the query may" in message, text
+        assert questions.fetch_select(spark, text)[0] is None
+    rows, message = questions.fetch_select(spark, "SELECT 1/0 AS a FROM tq_orders")
+    assert rows is None and "DIVIDE_BY_ZERO" in message
+    allowed = (
+        "SELECT market, sum(sales) AS s, rank() OVER (ORDER BY sum(sales)) AS place FROM tq_order_items JOIN tq_orders USING (order_id)"
+        " JOIN tq_locations USING (location_id) GROUP BY market",
+        "WITH x AS (SELECT order_id FROM tq_orders) SELECT * FROM x WHERE order_id IN (SELECT order_id FROM tq_order_items) OR EXISTS (SELECT 1 FROM x)",
+        "SELECT * FROM VALUES (1, 'a'), (2, NULL) AS t(n, s) UNION ALL SELECT id, upper(CAST(id AS STRING)) FROM range(3)",
+        "SELECT explode(sequence(1, 3)) AS n, transform(array(1, 2), x -> x + 1) AS t, to_date('2020-01-01') AS d",
+        "SELECT split_part(customer_name, '#', 2) AS a, regexp_count(customer_name, '0') AS b, median(customer_id) OVER () AS c FROM tq_customers",
+    )
+    for text in allowed:
+        rows, message = questions.fetch_select(spark, text)
+        assert message is None and rows.count() == questions.run_select(spark, text)[0].count() > 0, (text, message)
+    rows, message = questions.fetch_select(spark, "SELECT 1 AS a, 2 AS a, NULL AS `x y`")
+    assert message is None and rows.columns == ["a", "a", "x y"] and tuple(rows.first()) == (1, 2, None)
+
+
 def test_year_filter_reaches_the_scan(star):
     plan = plan_of(overview.kpis(star, Slice(year=1997)))
     assert "o_orderdate" in plan and "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan

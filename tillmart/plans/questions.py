@@ -2,9 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 
 from tillmart.functions.dates import month_label
+from tillmart.operators.staging import stage
 from tillmart.plans.rankings import customer_totals, item_totals
 from tillmart.plans.star import Star, sold_orders, total
 
@@ -85,14 +86,67 @@ def register_views(star: Star, prefix: str = "") -> None:
         table.createOrReplaceTempView(prefix + name)
 
 
+# Expressions that run code from outside the query, or tell where files lie.
+REFUSED_EXPRESSIONS = {
+    "CallMethodViaReflection", "TryReflect", "ScalaUDF", "ScalaUDAF", "ScalaAggregator", "PythonUDF", "PythonUDAF", "PythonUDTF",
+    "UnresolvedPolymorphicPythonUDTF", "InputFileName", "InputFileBlockStart", "InputFileBlockLength",
+}
+# Leaves that hold no stored rows.
+PLAIN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+
+
+def _listed(rows) -> list:
+    """A sequence of the JVM as a list."""
+    return [rows.apply(number) for number in range(rows.size())]
+
+
+def _refused_expression(expression) -> str | None:
+    kind = expression.getClass().getName()
+    if not kind.startswith(EXPRESSIONS) or expression.getClass().getSimpleName() in REFUSED_EXPRESSIONS:
+        return f"the query may not use {expression.prettyName()}"
+    return next(filter(None, map(_refused_expression, _listed(expression.children()))), None)
+
+
+def _refused(plan) -> str | None:
+    """Why the analysed plan may not run. Its rows come from temporary views, what these read is not looked at."""
+    kind, children = plan.getClass().getSimpleName(), _listed(plan.children())
+    if kind == "View" and plan.isTempView():
+        return None
+    if not children and kind not in PLAIN_LEAVES:
+        return f"the query may read temporary views only, not {plan.simpleStringWithNodeId()}"
+    reasons = [*map(_refused_expression, _listed(plan.expressions())), *map(_refused, _listed(plan.subqueries())), *map(_refused, children)]
+    return next(filter(None, reasons), None)
+
+
 def run_select(spark: SparkSession, sql: str, **params) -> tuple[DataFrame | None, str | None]:
-    """(rows, None), or (None, message) when the text is no query or names something unknown.
+    """(rows, None), or (None, message) when the text is no query, names something unknown or asks for more than it may.
 
     The text is placed in a FROM clause, where only a query can stand, so a statement
-    that would change data or the catalog is refused by the parser before it can run.
+    that would change data or the catalog is refused by the parser before it can run. The
+    analysed plan may read temporary views and use built-in functions that stay inside the query.
     """
     text = sql.strip().rstrip(";")
     try:
-        return spark.sql(f"SELECT * FROM (\n{text}\n)", args=params or None), None
+        rows = spark.sql(f"SELECT * FROM (\n{text}\n)", args=params or None)
     except (AnalysisException, ParseException) as error:
         return None, str(error)
+    reason = _refused(rows._jdf.queryExecution().analyzed())
+    return (None, reason) if reason else (rows, None)
+
+
+def fetch_select(spark: SparkSession, sql: str, **params) -> tuple[DataFrame | None, str | None]:
+    """As ``run_select``, but run: the rows are a stored table, and an error while running is a message too.
+
+    The table lies in the shared folder, so that an answer of any size is whole and passes through no single process.
+    """
+    rows, message = run_select(spark, sql, **params)
+    if rows is None:
+        return None, message
+    names = rows.columns  # these may repeat, or hold what Parquet refuses
+    numbered = rows.toDF(*[f"c{number}" for number in range(len(names))])
+    voids = {column.name: F.col(column.name).cast("string") for column in numbered.schema if column.dataType.typeName() == "void"}
+    try:
+        return stage(numbered.withColumns(voids) if voids else numbered, "answer").toDF(*names), None
+    except PySparkException as error:
+        return None, str(error)

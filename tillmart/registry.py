@@ -508,12 +508,13 @@ def compacted_table_sizes(spark, sf_dir):
 
 @query
 def integrity_after_commits(spark, sf_dir):
-    """Checks kept up to date over three commits; some keys come before, some after the rows that refer to them."""
+    """Checks kept up to date over three commits, two of them in one update; some keys come before, some after the rows that refer to them."""
     store = StarStore(spark, scratch_path(spark, "store"))
     ledger = IntegrityLedger(store)
     for part in range(3):
         _commit(store, _third(_damaged(sample_tables.star(spark, sf_dir)), part, 2 - part, part, (part + 1) % 3), part)
-        ledger.update()
+        if part == 0:
+            ledger.update()
     return ledger.checks()
 
 
