@@ -487,6 +487,21 @@ UNION ALL SELECT 'orders', COUNT(DISTINCT order_id), NULL FROM flat
 UNION ALL SELECT 'order_items', COUNT(*), NULL FROM flat
 UNION ALL SELECT 'items, highest id and sales', COUNT(*), {_d('SUM(sales)')} FROM flat
 UNION ALL SELECT 'orders, shipping', COUNT(DISTINCT order_id), {_d('SUM(shipping_cost)')} FROM flat"""),
+    "whole_merge": _star(f"""
+SELECT 'customers' AS "table", COUNT(DISTINCT customer_id) AS rows, NULL::DOUBLE AS amount FROM flat
+UNION ALL SELECT 'products', COUNT(DISTINCT product_id), NULL FROM flat
+UNION ALL SELECT 'locations', COUNT(DISTINCT country), NULL FROM flat
+UNION ALL SELECT 'orders', COUNT(DISTINCT order_id), NULL FROM flat
+UNION ALL SELECT 'order_items', COUNT(*) + COUNT(*) FILTER (WHERE order_id % 10 <> 0), NULL FROM flat
+UNION ALL SELECT 'items, highest id and sales', COUNT(*) + COUNT(*) FILTER (WHERE order_id % 10 <> 0),
+  {_d('SUM(sales) + SUM(sales) FILTER (WHERE order_id % 10 <> 0)')} FROM flat
+UNION ALL SELECT 'orders, shipping', COUNT(DISTINCT order_id), {_d('SUM(shipping_cost)')} FROM flat"""),
+    "exported_tables": _star("""
+SELECT 'customers' AS "table", COUNT(*) AS rows, MIN(customer_id) AS first_key, MAX(customer_id) AS last_key FROM d_customers
+UNION ALL SELECT 'products', COUNT(*), MIN(product_id), MAX(product_id) FROM d_products
+UNION ALL SELECT 'locations', COUNT(*), MIN(location_id), MAX(location_id) FROM d_locations
+UNION ALL SELECT 'orders', COUNT(*), MIN(order_id), MAX(order_id) FROM f_orders
+UNION ALL SELECT 'order_items', COUNT(*), MIN(order_id), MAX(order_id) FROM f_items"""),
     "merge_customers": _star("SELECT DISTINCT CAST(customer_id AS VARCHAR) AS customer_id, customer_name, segment FROM flat WHERE customer_id % 10 = 0"),
     "merge_products": _star("""
 SELECT DISTINCT CAST(product_id AS VARCHAR) AS product_id, product_name, category, sub_category FROM flat WHERE product_id % 10 = 0"""),

@@ -11,7 +11,7 @@ from tillmart.functions.numbers import parse_amount, parse_number
 from tillmart.functions.text import null_if_token
 from tillmart.operators import batch_log, cleaning, intake, integrity, merge, normalise, quality
 from tillmart.operators.integrity_ledger import IntegrityLedger
-from tillmart.operators.staging import scratch_path
+from tillmart.operators.staging import scratch_path, staging_scope
 from tillmart.plans import cohorts, funnel, measures, overview, questions, rankings, trends
 from tillmart.plans.star import Slice, Star
 from tillmart.schemas import CANONICAL_COLUMNS, ISSUE
@@ -344,6 +344,10 @@ def bulk_load(spark, sf_dir):
     write_csv(sample_uploads.flat_lines(spark, sf_dir).select(*CANONICAL_COLUMNS), f"{folder}/upload")
     store = StarStore(spark, f"{folder}/store")
     intake.bulk_load(store, f"{folder}/upload", AS_OF)
+    return _contents(store)
+
+
+def _contents(store: StarStore) -> DataFrame:
     star = store.star()
     sums = star.order_items.agg(F.sum("sales").alias("sales"), F.max("order_item_id").alias("rows"))
     shipping = star.orders.agg(F.sum("shipping_cost").alias("sales"), F.count(F.lit(1)).alias("rows"))
@@ -400,6 +404,37 @@ def merge_order_items(spark, sf_dir):
     return merge.new_order_items(batch, stored)
 
 
+@query
+def whole_merge(spark, sf_dir):
+    """A store of nine tenths of the orders, then a batch of all lines merged and committed: what the store holds then."""
+    lines = sample_uploads.flat_lines(spark, sf_dir)
+    store = StarStore(spark, scratch_path(spark, "store"))
+    empty = store.star()
+    with staging_scope(spark):
+        for number, part in enumerate((lines.where("l_orderkey % 10 <> 0"), lines)):
+            batch = sample_uploads.numbered_lines(part)
+            new = merge.plan_merge(batch, store.star() if number else empty)
+            store.commit(new, batch_log.log_entries(_accepted(spark, number), AS_OF, number), f"part-{number}")
+    return _contents(store)
+
+
+@query
+def exported_tables(spark, sf_dir):
+    """The stored tables written as CSV and read again: rows and first and last key of each."""
+    store = StarStore(spark, scratch_path(spark, "store"))
+    _commit(store, sample_tables.star(spark, sf_dir), 0)
+    folder = scratch_path(spark, "export")
+    store.export_csv(folder)
+    result = None
+    for name, key in (("customers", "customer_id"), ("products", "product_id"), ("locations", "location_id"), ("orders", "order_id"), ("order_items", "order_id")):
+        number = F.col(key).cast("bigint")
+        rows = read_flat_csv(spark, [f"{folder}/cleaned_{name}"]).agg(
+            F.count(F.lit(1)).alias("rows"), F.min(number).alias("first_key"), F.max(number).alias("last_key")
+        ).select(F.lit(name).alias("table"), "rows", "first_key", "last_key")
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 # --- gate, log, integrity --------------------------------------------------------------
 
 
@@ -480,11 +515,14 @@ star_query("integrity_classes", lambda star: integrity.classified(integrity.inte
 star_query("table_sizes", lambda star: integrity.table_sizes(star))
 
 
-def _commit(store: StarStore, rows: Star, number: int) -> None:
+def _accepted(spark: SparkSession, number: int) -> DataFrame:
     entry = f"batch_key string, row_count bigint, issues array<{ISSUE.simpleString()}>, health_score double, status string, accepted_rows bigint, rejected_rows bigint"
-    entries = store.spark.createDataFrame([(f"b{number}", 1, [], 100.0, "Accepted", 1, 0)], entry)
+    return spark.createDataFrame([(f"b{number}", 1, [], 100.0, "Accepted", 1, 0)], entry)
+
+
+def _commit(store: StarStore, rows: Star, number: int) -> None:
     rows = rows.with_tables(order_items=rows.order_items.withColumn("order_item_id", F.monotonically_increasing_id()))
-    store.commit(rows, batch_log.log_entries(entries, AS_OF, number), f"part-{number}")
+    store.commit(rows, batch_log.log_entries(_accepted(store.spark, number), AS_OF, number), f"part-{number}")
 
 
 def _third(star: Star, customers: int, products: int, orders: int, items: int) -> Star:
