@@ -46,11 +46,11 @@ def highest(table: DataFrame, column: str) -> int:
 
 
 def new_customers(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    return not_stored(normalise.customers(batch), stored, "customer_id", batch_rows)
+    return normalise.customers(batch, lambda keys: not_stored(keys, stored, "customer_id", batch_rows))
 
 
 def new_products(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    return not_stored(normalise.products(batch), stored, "product_id", batch_rows)
+    return normalise.products(batch, lambda keys: not_stored(keys, stored, "product_id", batch_rows))
 
 
 def place_ids(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,15 @@
 """From flat rows to the star tables.
 
-"First" means first in row order, carried by the ``row_id`` column. ``min_by`` has a
+"First" means first in row order, carried by the ``row_id`` column. Aggregates have a
 map-side combine, so a customer with a third of all rows leaves each input partition
 as one row; nothing is gathered per key.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillmart.operators.numbering import number_rows
 from tillmart.plans.star import Star
@@ -15,18 +18,32 @@ from tillmart.schemas import LOCATION_KEY
 ORDER_COLUMNS = ("order_date", "ship_date", "ship_mode", "customer_id")
 
 
-def first_rows(flat: DataFrame, key: str, *columns: str) -> DataFrame:
-    """The first row of each key."""
-    first = F.min_by(F.struct(*columns), "row_id").alias("first")
-    return flat.groupBy(key).agg(first).select(key, "first.*")
+def _all(candidates: DataFrame) -> DataFrame:
+    return candidates
+
+
+def first_rows(flat: DataFrame, key: str, *columns: str, among: Callable[[DataFrame], DataFrame] = _all) -> DataFrame:
+    """The first row of each key, of those keys that ``among`` leaves.
+
+    Where ``row_id`` is a number, which is the same whenever the rows are read, only the number of
+    each key's first row is aggregated (by hash, as it has a fixed width), and the values are fetched
+    for the numbers that are left. A composite ``row_id`` may not be stable; its rows are read once.
+    """
+    if not isinstance(flat.schema["row_id"].dataType, T.LongType):
+        first = F.min_by(F.struct(*columns), "row_id").alias("first")
+        return among(flat.groupBy(key).agg(first)).select(key, "first.*")
+    numbers = among(flat.groupBy(key).agg(F.min("row_id").alias("row_id")))
+    wanted = numbers.select(F.col(key).alias("_key"), F.col("row_id").alias("_row"))
+    rows = flat.select(key, "row_id", *columns)
+    return rows.join(wanted, (rows["row_id"] == wanted["_row"]) & rows[key].eqNullSafe(wanted["_key"])).select(key, *columns)
 
 
-def customers(flat: DataFrame) -> DataFrame:
-    return first_rows(flat, "customer_id", "customer_name", "segment")
+def customers(flat: DataFrame, among: Callable[[DataFrame], DataFrame] = _all) -> DataFrame:
+    return first_rows(flat, "customer_id", "customer_name", "segment", among=among)
 
 
-def products(flat: DataFrame) -> DataFrame:
-    return first_rows(flat, "product_id", "product_name", "category", "sub_category")
+def products(flat: DataFrame, among: Callable[[DataFrame], DataFrame] = _all) -> DataFrame:
+    return first_rows(flat, "product_id", "product_name", "category", "sub_category", among=among)
 
 
 def location_tuples(flat: DataFrame) -> DataFrame:

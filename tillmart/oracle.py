@@ -214,6 +214,16 @@ def _disposed(review: str) -> str:
 FROM judged"""
 
 
+_SELLER = "' / ' || l_suppkey || ' / ' || l_linenumber"
+
+_FIRST_CUSTOMERS = f"""
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, arg_min(customer_name || {_SELLER}, row_no) AS customer_name,
+       arg_min(segment, row_no) AS segment FROM flat WHERE {{of}} GROUP BY flat.customer_id"""
+
+_FIRST_PRODUCTS = f"""
+SELECT CAST(product_id AS VARCHAR) AS product_id, arg_min(product_name || {_SELLER}, row_no) AS product_name,
+       arg_min(category, row_no) AS category, arg_min(sub_category, row_no) AS sub_category FROM flat WHERE {{of}} GROUP BY flat.product_id"""
+
 _NOT_STORED_ORDERS = """SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(order_date AS VARCHAR) AS order_date,
   CAST(arg_min(ship_date, row_no) AS VARCHAR) AS ship_date, CAST(customer_id AS VARCHAR) AS customer_id,
   CAST(SUM(shipping_cost) AS DOUBLE) AS shipping_cost,
@@ -505,6 +515,10 @@ UNION ALL SELECT 'order_items', COUNT(*), MIN(order_id), MAX(order_id) FROM f_it
     "merge_customers": _star("SELECT DISTINCT CAST(customer_id AS VARCHAR) AS customer_id, customer_name, segment FROM flat WHERE customer_id % 10 = 0"),
     "merge_products": _star("""
 SELECT DISTINCT CAST(product_id AS VARCHAR) AS product_id, product_name, category, sub_category FROM flat WHERE product_id % 10 = 0"""),
+    "first_customers": _star(_FIRST_CUSTOMERS.format(of="TRUE")),
+    "first_products": _star(_FIRST_PRODUCTS.format(of="TRUE")),
+    "merge_first_customers": _star(_FIRST_CUSTOMERS.format(of="customer_id % 10 = 0")),
+    "merge_first_products": _star(_FIRST_PRODUCTS.format(of="product_id % 10 = 0")),
     "merge_locations": _star("""
 SELECT (SELECT MAX(location_id) FROM d_locations WHERE location_id % 10 <> 0) + row_number() OVER (ORDER BY MIN(row_no)) AS location_id,
        country, market, region, state, city, postal_code

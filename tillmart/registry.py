@@ -378,6 +378,35 @@ def merge_products(spark, sf_dir):
     return merge.new_products(_ordered(spark, sf_dir), _stored(sample_tables.products(spark, sf_dir), "product_id"))
 
 
+def _named_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines of an upload in which the same customer or product is named otherwise on each line."""
+    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir))
+    seller = F.concat(F.lit(" / "), F.col("l_suppkey").cast("string"), F.lit(" / "), F.col("l_linenumber").cast("string"))
+    return rows.withColumns({name: F.concat(name, seller) for name in ("customer_name", "product_name")})
+
+
+@query
+def first_customers(spark, sf_dir):
+    return normalise.customers(_named_by_line(spark, sf_dir))
+
+
+@query
+def first_products(spark, sf_dir):
+    return normalise.products(_named_by_line(spark, sf_dir))
+
+
+@query
+def merge_first_customers(spark, sf_dir):
+    stored = _stored(sample_tables.customers(spark, sf_dir), "customer_id")
+    return merge.new_customers(_named_by_line(spark, sf_dir), stored)
+
+
+@query
+def merge_first_products(spark, sf_dir):
+    stored = _stored(sample_tables.products(spark, sf_dir), "product_id")
+    return merge.new_products(_named_by_line(spark, sf_dir), stored)
+
+
 @query
 def merge_locations(spark, sf_dir):
     return merge.new_locations(_ordered(spark, sf_dir), _stored(sample_tables.locations(spark, sf_dir), "location_id"))
