@@ -149,6 +149,61 @@ def test_stream_equals_one_merge_and_a_replay_adds_nothing(spark, store, tmp_pat
     assert store.log().count() == 3 and store.table("orders").count() == 4
 
 
+def partitions(store):
+    """Commit keys of all folders, by table."""
+    return {
+        table: {name.partition("=")[2] for name in os.listdir(f"{store.path}/{table}") if name.startswith("commit_key=")}
+        for table in os.listdir(store.path)
+    }
+
+
+def test_a_replayed_epoch_in_another_grouping_leaves_nothing_behind(store, tmp_path, monkeypatch):
+    inbox, checkpoint = tmp_path / "in", tmp_path / "ck"
+    for name, text in (("a.csv", GOOD), ("b.csv", BAD), ("c.csv", REORDERED)):
+        write(inbox, name, text)
+    whole, taken = StarStore._append, []
+
+    def dies_at_the_log(self, rows, table, schema, commit_key):
+        if table == store_module.LOG:
+            taken.append(commit_key)
+            if len(taken) == limit:
+                raise RuntimeError("driver lost")
+        whole(self, rows, table, schema, commit_key)
+
+    monkeypatch.setattr(StarStore, "_append", dies_at_the_log)
+    for size, limit in ((3, 1), (2, 2), (1, 9)):  # one commit fails, then the second of two, then each file is taken alone
+        taken.clear()
+        monkeypatch.setattr(intake, "FILES_PER_COMMIT", size)
+        if size > 1:
+            with pytest.raises(Exception):
+                run(store, inbox, checkpoint)
+        else:
+            run(store, inbox, checkpoint)
+    logged = {row.commit_key for row in store.log().collect()}
+    assert len(logged) == 2 and all(key.startswith("stream-") for key in logged)
+    found = partitions(store)
+    assert set().union(*found.values()) <= logged and found["quarantine"]
+    assert sorted(row.filename for row in store.log().collect()) == ["a.csv", "b.csv", "c.csv"]
+    assert sorted(row.order_item_id for row in store.table("order_items").collect()) == [1, 2, 3]
+    store.compact()
+    (key,) = found["quarantine"]
+    store.discard_unlogged("stream-")
+    assert partitions(store)["quarantine"] == {key}  # its batch is logged under the generation's key now
+
+
+def test_headers_cost_no_job_per_file(store, tmp_path, monkeypatch):
+    read = []
+    whole = intake.read_header
+    monkeypatch.setattr(intake, "read_header", lambda spark, path, multi_line: read.append(path) or whole(spark, path, multi_line))
+    for n in range(4):
+        write(tmp_path / "in", f"f{n}.csv", GOOD.replace("O1", f"A{n}").replace("O2", f"B{n}"))
+    write(tmp_path / "in", "g.csv", GOOD.replace("extra", '"ex\ntra"'))
+    files = submissions(store.spark.read.format("binaryFile").load(str(tmp_path / "in")))
+    assert {row.action for row in ingest_files(store, files, AS_OF, multi_line=True)} == {"merge"}
+    assert store.table("order_items").count() == 10
+    assert len(read) == 3  # one for each of two layouts, one to tell the quoted header
+
+
 def test_stream_logs_unreadable_and_empty_files(store, tmp_path):
     inbox = tmp_path / "in"
     write(inbox, "u.csv", "foo,bar\n1,2\n")

@@ -116,8 +116,9 @@ def read_submissions(
     for submission in submissions:
         if submission.batch_key in refused:
             continue
-        # A header with line breaks inside quotes is read whole by Spark.
-        line = read_header(spark, submission.path, multi_line) if multi_line else [first_line(spark, submission.path)]
+        line = [first_line(spark, submission.path)]
+        if multi_line and '"' in (line[0] or ""):  # a line break may lie in the header: Spark reads it whole
+            line = [None, *read_header(spark, submission.path, multi_line)]
         by_line[tuple(line)].append(submission)
     parts, unreadable, cleaned = [], refused, {}
     for members in by_line.values():
@@ -182,8 +183,9 @@ def settle(
     as_of: dt.datetime,
     on_review: str,
     cleaned: dict[str, CleanBatch],
+    prefix: str = "",
 ) -> list[Row]:
-    """Score all batches in one job, merge the accepted ones in one pass, log every one.
+    """Score all batches in one job, merge the accepted ones in one pass, log every one under a key with the prefix.
 
     A decision carries the batch's ``columns`` (canonical name to header name) and ``warnings``.
     """
@@ -203,7 +205,7 @@ def settle(
         "checks_ran boolean, action string, accepted_rows bigint, rejected_rows bigint, filename string, place int, rows_before bigint"
     )
     decided = spark.createDataFrame(table, schema).select(*columns)
-    commit_key = commit_key_of(keys)
+    commit_key = prefix + commit_key_of(keys)
     store.discard(commit_key)
     log = store.log()
     entries = log_entries(decided, as_of, merge.highest(log, "batch_id"), order="place", filename="filename")
@@ -252,12 +254,16 @@ def ingest_file(
 
 
 def ingest_files(
-    store: StarStore, submissions: list[Submission], as_of: dt.datetime, on_review: str = "hold", multi_line: bool = False
+    store: StarStore, submissions: list[Submission], as_of: dt.datetime, on_review: str = "hold", multi_line: bool = False, attempt: str = ""
 ) -> list[Row]:
     """Gate many files, up to ``FILES_PER_COMMIT`` in one pass; files already logged are skipped.
 
-    Earlier files win over later ones.
+    Earlier files win over later ones. ``attempt`` names a unit of work that is repeated when it fails: all that
+    earlier tries left under it without a log row is removed first, so a repeat may group the files otherwise.
     """
+    prefix = f"{attempt}-" if attempt else ""
+    if prefix:
+        store.discard_unlogged(prefix)
     decisions = []
     for start in range(0, len(submissions), FILES_PER_COMMIT):
         part = submissions[start : start + FILES_PER_COMMIT]
@@ -266,7 +272,7 @@ def ingest_files(
         if fresh:
             with staging_scope(store.spark):
                 rows, unreadable, cleaned = read_submissions(store, fresh, as_of, multi_line)
-                decisions += settle(store, rows, fresh, unreadable, as_of, on_review, cleaned)
+                decisions += settle(store, rows, fresh, unreadable, as_of, on_review, cleaned, prefix)
     return decisions
 
 

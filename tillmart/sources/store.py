@@ -25,6 +25,7 @@ from tillmart.sources.flat_file import write_csv
 COMMIT = "commit_key"
 LOG = "ingestion_log"
 GENERATIONS = "generations"
+QUARANTINE = "quarantine"
 #: Keys of generations begin with this.
 COMPACTED = "compacted-"
 #: Batch keys of bulk loads begin with this.
@@ -124,6 +125,23 @@ class StarStore:
         for name in (*STAR_SCHEMAS, LOG):
             remove_path(self.spark, f"{self.path}/{name}/{COMMIT}={commit_key}")
 
+    def discard_unlogged(self, prefix: str) -> None:
+        """Remove what unfinished attempts left under any key with the prefix, however they grouped their batches.
+
+        The caller bounds the commits under one prefix. Quarantined rows stay when their batch is logged:
+        after a compaction its log row no longer has the key.
+        """
+        logged = {row[COMMIT] for row in self.log().where(F.col(COMMIT).startswith(prefix)).select(COMMIT).distinct().collect()}
+        for table, key in self._partitions(prefix):
+            if key in logged:
+                continue
+            if table == QUARANTINE:
+                # The first column; an attempt may have died before it wrote any file.
+                batches = self.spark.read.schema("batch_key string").option("header", "true").csv(f"{self.path}/{table}/{COMMIT}={key}")
+                if not batches.join(self.committed_batches(), "batch_key", "left_semi").isEmpty():
+                    continue
+            remove_path(self.spark, f"{self.path}/{table}/{COMMIT}={key}")
+
     def commit(self, new: Star | None, log_entries: DataFrame, commit_key: str) -> None:
         """Append the new rows, then the log rows that make them visible."""
         if new is not None:
@@ -159,15 +177,15 @@ class StarStore:
             own = self._written_log().where(~F.col(COMMIT).startswith(COMPACTED) & (F.col("batch_id") <= generation.upto))
             for row in own.select(COMMIT).distinct().collect():  # before the files it is read from go
                 self._remove(row[COMMIT])
-        for key in self._generation_keys():
+        for key in sorted({key for _, key in self._partitions(COMPACTED)}):
             if generation is None or key != generation[COMMIT]:
                 self._remove(key)
 
-    def _generation_keys(self) -> list[str]:
-        """Keys of all generations that have a folder."""
-        paths = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/{COMMIT}={COMPACTED}*")
+    def _partitions(self, prefix: str) -> list[tuple[str, str]]:
+        """(table, commit key) of every folder whose key has the prefix."""
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/{COMMIT}={prefix}*")
         found = paths.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(paths) or ()
-        return sorted({status.getPath().getName().partition("=")[2] for status in found})
+        return [(status.getPath().getParent().getName(), status.getPath().getName().partition("=")[2]) for status in found]
 
     def _remove(self, key: str) -> None:
         """Delete a commit's folders, the log's last: while it is there, the others can be found again."""
@@ -181,7 +199,7 @@ class StarStore:
 
     def quarantine(self, rows: DataFrame, commit_key: str) -> str:
         """Cleaned rows of refused batches as CSV, for inspection."""
-        path = f"{self.path}/quarantine/{COMMIT}={commit_key}"
+        path = f"{self.path}/{QUARANTINE}/{COMMIT}={commit_key}"
         write_csv(rows, path)
         return path
 

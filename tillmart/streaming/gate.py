@@ -7,9 +7,10 @@ from itertools import batched
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tillmart.operators.intake import FILES_PER_COMMIT, empty_files, ingest_files, submissions
+from tillmart.operators.intake import FILES_PER_COMMIT, Submission, commit_key_of, empty_files, ingest_files, submissions
 from tillmart.sources.store import StarStore
 
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -28,8 +29,9 @@ def watch_folder(
 
     The stream carries file names only: a CSV stream would map columns by position and
     mix files whose headers differ. Each file is one batch, known by path and change
-    time. A replayed trigger finds its files logged and does nothing, or replaces its
-    own unfinished append. Files must appear whole, by a move into the folder.
+    time. Commits carry the stream's name and the epoch: a replayed epoch skips the files
+    that are logged and first removes whatever else its earlier tries left, even if it now
+    groups the files otherwise. Files must appear whole, by a move into the folder.
     Files without a byte are logged first: the stream has no row for them.
     """
     names = (
@@ -41,11 +43,16 @@ def watch_folder(
         .select("path", "modificationTime", "_metadata")
     )
 
-    def gate(files: DataFrame, _epoch: int) -> None:
+    stream = commit_key_of([checkpoint.rstrip("/")])[:16]
+
+    def take(found: list[Submission], epoch: str) -> None:
+        ingest_files(store, found, clock(), on_review, multi_line, attempt=f"stream-{stream}-{epoch}")
+
+    def gate(files: DataFrame, epoch: int) -> None:
         found = submissions(files)
         if found:
-            ingest_files(store, found, clock(), on_review, multi_line)
+            take(found, str(epoch))
 
     for files in batched(empty_files(store.spark, f"{inbox}/{name_filter}"), FILES_PER_COMMIT):
-        ingest_files(store, list(files), clock(), on_review, multi_line)
+        take(list(files), "empty")
     return names.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
