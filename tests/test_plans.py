@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 from tillmart.plans import cohorts, funnel, measures, overview, questions, rankings, trends
+from tillmart.plans import star as star_module
 from tillmart.plans.star import Slice, Star
 from tillmart.registry import QUERIES
 
@@ -127,6 +128,22 @@ def test_year_filter_reaches_the_scan(star):
     assert "o_orderdate" in plan and "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
 
+@pytest.mark.parametrize("limit", [star_module.BROADCAST_ORDERS, 0])
+def test_a_small_slice_sums_its_own_items_only(star, monkeypatch, limit):
+    monkeypatch.setattr(star_module, "BROADCAST_ORDERS", limit)
+    items = star.order_items.withColumn("order_id", F.when(F.col("product_id") % 3 != 0, F.col("order_id")))
+    some = star.with_tables(order_items=items, customers=star.customers.where("customer_id % 7 <> 0"))
+    scope = Slice(year=1997, market="ASIA", segment="HOUSEHOLD")
+    joined = items.join(some.orders, "order_id").join(some.customers, "customer_id").join(some.locations, "location_id")
+    wanted = joined.where("year(order_date) = 1997 AND market = 'ASIA' AND segment = 'HOUSEHOLD'")
+    want = wanted.agg(F.sum("sales").alias("sales"), F.count_distinct("order_id").alias("orders"), F.count_distinct("customer_id").alias("customers")).first()
+    row = overview.kpis(some, scope).first()
+    assert row.orders > 0 and (row.revenue, row.orders, row.customers) == tuple(want)
+    assert ("LeftSemi" in plan_of(star_module.order_totals(some)), "LeftSemi" in plan_of(star_module.sold_orders(some, Slice(year=1997)))) == (False, limit > 0)
+    nothing = overview.kpis(some, Slice(year=1900)).first()
+    assert (nothing.revenue, nothing.orders) == (0, 0)
+
+
 def test_unused_parts_of_the_star_are_not_read(star):
     plan = plan_of(trends.monthly_running_total(star))
     assert "c_nationkey" not in plan and "l_tax" not in plan and "l_shipdate" not in plan

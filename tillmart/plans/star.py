@@ -48,6 +48,9 @@ class Slice:
 
 EVERYTHING = Slice()
 
+# Up to this many orders of a slice their ids are broadcast to the items.
+BROADCAST_ORDERS = 1_000_000
+
 
 def order_totals(star: Star) -> DataFrame:
     """Items summed per order.
@@ -63,8 +66,22 @@ def order_totals(star: Star) -> DataFrame:
 
 
 def sold_orders(star: Star, scope: Slice = EVERYTHING) -> DataFrame:
-    """One row per order that has items, with its totals."""
-    return order_totals(star).join(scope.orders(star.orders), "order_id")
+    """One row per order that has items, with its totals; of a slice, its orders.
+
+    The orders of a slice are counted first. While they are few, only their items are summed. Beyond
+    that all items are: a join by shuffle would send the items of a very large order to one task unsummed.
+    """
+    orders = scope.orders(star.orders)
+    if scope == EVERYTHING:
+        return order_totals(star).join(orders, "order_id")
+    if scope.segment is not None:
+        orders = orders.join(scope.customers(star.customers).select("customer_id"), "customer_id", "left_semi")
+    if scope.market is not None:
+        orders = orders.join(scope.locations(star.locations).select("location_id"), "location_id", "left_semi")
+    ids = orders.select("order_id")
+    if ids.count() <= BROADCAST_ORDERS:
+        star = star.with_tables(order_items=star.order_items.join(F.broadcast(ids), "order_id", "left_semi"))
+    return order_totals(star).join(orders, "order_id")
 
 
 def in_scope(rows: DataFrame, star: Star, scope: Slice = EVERYTHING, *keep: str) -> DataFrame:
