@@ -72,6 +72,21 @@ def test_license_query(spark):
         assert best is None or ((r.own_license, r.own_line) == best[:2] and abs(r.own_score - best[2]) < 1e-6)
 
 
+def test_license_query_inherits(spark, tmp_path):
+    """A document that is a notice as a whole licenses the bare documents of its source and language, and of no other."""
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    long = "\n".join(["words of no licence at all"] * 40 + [gpl])
+    given = [(1, "a", "en", f"Ab.\n{mit}"), (2, "a", "en", "prose"), (3, "a", "en", None), (4, "a", "de", "prose"), (5, "b", "en", long), (6, "b", "en", "prose")]
+    given += [(7, "a", "en", long), (8, "b", "en", "prose on licensing"), (None, "a", "en", "prose"), (9, None, None, mit), (10, None, None, "prose")]
+    spark.createDataFrame(given, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.own_license, r.license, r.inherited_from) for r in queries.license_scan(spark, str(tmp_path)).collect())
+    assert got == Counter([
+        (1, "MIT", "MIT", None), (2, None, "MIT", "a/en"), (3, None, "MIT", "a/en"), (4, None, None, None), (5, "GPL-3.0", "GPL-3.0", None),
+        (6, None, None, None), (7, "GPL-3.0", "GPL-3.0", None), (8, None, None, None), (None, None, "MIT", "a/en"),
+        (9, "MIT", "MIT", None), (10, None, None, None),
+    ])
+
+
 def test_sharding_query(spark):
     rows = queries.jump_shards(spark, SF_DIR).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}

@@ -24,6 +24,8 @@ URL_RULES = [
 SHARDS = 24
 VOCABULARY = "byte_bpe_50k.json"
 MISSPELT, LEAST_CHARS, LEAST_TIMES = 97, 5, 3
+#: A word that every licence notice holds.
+LICENSE_WORD = r"(?i)\blicensed?\b"
 
 
 def vocabulary_path() -> str:
@@ -42,10 +44,15 @@ def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree of sources and languages. A row without id is named by its text; none is named like a licence file, so none inherits."""
+    """The documents as files of a tree of sources and languages. A row without id is named by its text.
+
+    One that speaks of a licence is named as a notice: the licence file of its directory, if its whole text fits a licence.
+    Without source or language it is none, as its directory would hold other sources or all of them.
+    """
     docs = table(spark, sf_dir, "documents")
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce("text", F.lit("")))))
-    path = F.concat_ws("/", "source", "lang", F.concat(name, F.lit(".txt")))
+    kind = F.when(F.col("source").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LICENSE_WORD), "NOTICE-").otherwise("")
+    path = F.concat_ws("/", "source", "lang", F.concat(kind, name, F.lit(".txt")))
     return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
 
 
