@@ -5,6 +5,8 @@ order key). Only the row count of each piece is summed up in order, and that tab
 one short row per piece. The positions are staged first, so both uses see the same ones.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,13 +31,14 @@ def _add_offsets(staged: DataFrame, keys: list[str], order: Window, name: str, s
     return numbered.drop("_seq", "_offset")
 
 
-def number_rows(rows: DataFrame, *order: str | Column, name: str = "row_id", start: int = 1) -> DataFrame:
+def number_rows(rows: DataFrame, *order: str | Column, name: str = "row_id", start: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """Number rows ``start``.. in the given order.
 
     The order should end in a unique column: rows that tie on all of it lie in one range.
+    Once the rows are sorted only the columns ``keep`` are stored, all of them by default.
     """
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    staged = stage(spread.withColumn("_seq", F.monotonically_increasing_id()), "numbered")
+    staged = stage(spread.select(*(keep or rows.columns), F.monotonically_increasing_id().alias("_seq")), "numbered")
     staged = staged.withColumn("_piece", F.shiftright("_seq", _POSITION_BITS))
     return _add_offsets(staged, ["_piece"], Window.orderBy("_piece"), name, start).drop("_piece")
 

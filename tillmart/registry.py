@@ -273,19 +273,28 @@ def text_defaults(spark, sf_dir):
 
 
 def _numbered_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), "row_no")
+    keep = [*CANONICAL_COLUMNS, *sample_uploads.UPLOAD_KEYS]
+    lines = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), "row_no", keep)
     return sample_uploads.untidy_upload(lines, "row_no")
 
 
+def _numbered_columns(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Some canonical columns of the upload, each written as in the whole one; no other column is numbered with them."""
+    columns = sample_uploads.untidy_columns()
+    keep = [*names, *sample_uploads.UPLOAD_KEYS]
+    lines = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), "row_no", keep)
+    return lines.select(*[columns[name].alias(header) for header, name in sample_uploads.UPLOAD_HEADER if name in names], "row_no")
+
+
 @query
 def generated_ids(spark, sf_dir):
-    rows = cleaning.select_canonical(_numbered_upload(spark, sf_dir))[0]
+    rows = cleaning.select_canonical(_numbered_columns(spark, sf_dir, "order_id", "customer_id", "product_id"))[0]
     return cleaning.fill_ids(rows).select("order_id", "customer_id", "product_id")
 
 
 @query
 def generated_order_ids(spark, sf_dir):
-    rows = cleaning.select_canonical(_numbered_upload(spark, sf_dir))[0].select("sales", "row_no")
+    rows = cleaning.select_canonical(_numbered_columns(spark, sf_dir, "sales"))[0]
     return cleaning.fill_order_ids(rows, AS_OF)[0].select("order_id")
 
 
@@ -297,18 +306,22 @@ def clean_batch(spark, sf_dir):
 # --- normalising ---------------------------------------------------------------------
 
 
-def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_uploads.in_line_order(sample_uploads.flat_lines(spark, sf_dir))
+def _ordered(spark: SparkSession, sf_dir: str, *order: str) -> DataFrame:
+    return sample_uploads.in_line_order(sample_uploads.flat_lines(spark, sf_dir), *order)
+
+
+# Lines that tie on these are of one customer and one product: which of them is first makes no difference to either.
+NAMES_ORDER = ("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query
 def dim_customers(spark, sf_dir):
-    return normalise.customers(_ordered(spark, sf_dir))
+    return normalise.customers(_ordered(spark, sf_dir, *NAMES_ORDER))
 
 
 @query
 def dim_products(spark, sf_dir):
-    return normalise.products(_ordered(spark, sf_dir))
+    return normalise.products(_ordered(spark, sf_dir, *NAMES_ORDER))
 
 
 @query
@@ -333,7 +346,8 @@ def dim_orders(spark, sf_dir):
 
 @query
 def fact_order_items(spark, sf_dir):
-    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir))
+    keep = ("order_id", "product_id", "sales", "quantity", "discount", "profit", "l_orderkey")
+    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), keep=keep)
     return normalise.order_items(rows.withColumn("order_id", F.when(F.col("l_orderkey") % 20 != 0, F.col("order_id"))))
 
 
@@ -370,41 +384,45 @@ def _stored(rows: DataFrame, key: str) -> DataFrame:
 
 @query
 def merge_customers(spark, sf_dir):
-    return merge.new_customers(_ordered(spark, sf_dir), _stored(sample_tables.customers(spark, sf_dir), "customer_id"))
+    return merge.new_customers(_ordered(spark, sf_dir, *NAMES_ORDER), _stored(sample_tables.customers(spark, sf_dir), "customer_id"))
 
 
 @query
 def merge_products(spark, sf_dir):
-    return merge.new_products(_ordered(spark, sf_dir), _stored(sample_tables.products(spark, sf_dir), "product_id"))
+    return merge.new_products(_ordered(spark, sf_dir, *NAMES_ORDER), _stored(sample_tables.products(spark, sf_dir), "product_id"))
 
 
-def _named_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named_by_line(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Numbered lines of an upload in which the same customer or product is named otherwise on each line."""
-    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir))
+    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), keep=(name, *columns, "l_suppkey", "l_linenumber"))
     seller = F.concat(F.lit(" / "), F.col("l_suppkey").cast("string"), F.lit(" / "), F.col("l_linenumber").cast("string"))
-    return rows.withColumns({name: F.concat(name, seller) for name in ("customer_name", "product_name")})
+    return rows.withColumn(name, F.concat(name, seller))
+
+
+_CUSTOMER = ("customer_name", "customer_id", "segment")
+_PRODUCT = ("product_name", "product_id", "category", "sub_category")
 
 
 @query
 def first_customers(spark, sf_dir):
-    return normalise.customers(_named_by_line(spark, sf_dir))
+    return normalise.customers(_named_by_line(spark, sf_dir, *_CUSTOMER))
 
 
 @query
 def first_products(spark, sf_dir):
-    return normalise.products(_named_by_line(spark, sf_dir))
+    return normalise.products(_named_by_line(spark, sf_dir, *_PRODUCT))
 
 
 @query
 def merge_first_customers(spark, sf_dir):
     stored = _stored(sample_tables.customers(spark, sf_dir), "customer_id")
-    return merge.new_customers(_named_by_line(spark, sf_dir), stored)
+    return merge.new_customers(_named_by_line(spark, sf_dir, *_CUSTOMER), stored)
 
 
 @query
 def merge_first_products(spark, sf_dir):
     stored = _stored(sample_tables.products(spark, sf_dir), "product_id")
-    return merge.new_products(_named_by_line(spark, sf_dir), stored)
+    return merge.new_products(_named_by_line(spark, sf_dir, *_PRODUCT), stored)
 
 
 @query
@@ -427,9 +445,9 @@ def merge_orders(spark, sf_dir):
 
 @query
 def merge_order_items(spark, sf_dir):
-    rows = sample_uploads.flat_lines(spark, sf_dir)
-    stored = normalise.order_items(sample_uploads.numbered_lines(rows.where("l_orderkey % 10 <> 0")))
-    batch = sample_uploads.numbered_lines(rows.where("l_orderkey % 10 = 0").withColumn("quantity", F.col("quantity") + 0.75))
+    rows, keep = sample_uploads.flat_lines(spark, sf_dir), ("order_id", "product_id", "sales", "quantity", "discount", "profit")
+    stored = normalise.order_items(sample_uploads.numbered_lines(rows.where("l_orderkey % 10 <> 0"), keep=keep))
+    batch = sample_uploads.numbered_lines(rows.where("l_orderkey % 10 = 0").withColumn("quantity", F.col("quantity") + 0.75), keep=keep)
     return merge.new_order_items(batch, stored)
 
 
@@ -441,7 +459,7 @@ def whole_merge(spark, sf_dir):
     empty = store.star()
     with staging_scope(spark):
         for number, part in enumerate((lines.where("l_orderkey % 10 <> 0"), lines)):
-            batch = sample_uploads.numbered_lines(part)
+            batch = sample_uploads.numbered_lines(part, keep=CANONICAL_COLUMNS)
             new = merge.plan_merge(batch, store.star() if number else empty)
             store.commit(new, batch_log.log_entries(_accepted(spark, number), AS_OF, number), f"part-{number}")
     return _contents(store)

@@ -39,22 +39,28 @@ def _amount(ten_thousandths: str, name: str) -> str:
     return f"CAST(CAST({ten_thousandths} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS {name}"
 
 
+# The columns of a sale line, from a line item and the price of its part.
+SALE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_tax",
+    "CAST(l_shipdate AS DATE) AS l_shipdate",
+    "l_orderkey AS order_id",
+    "l_partkey AS product_id",
+    _amount(f"{_PRICE} * (100 - {_RATE})", "sales"),
+    "CAST(l_quantity AS INT) AS quantity",
+    _amount(f"{_RATE} * 100", "discount"),
+    _amount(f"{_PRICE} * (100 - {_RATE}) - {_COST}", "profit"),
+    _amount(f"{_PRICE} * {_TAX}", "shipping_cost"),
+)
+
+
+def prices(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """At most one price row per part: a left join with it is dropped from the plan when profit is not used."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias(key)).agg(F.max("p_retailprice").alias("p_retailprice"))
+
+
 def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with exact sales, shipping cost and profit."""
-    lines = table(spark, sf_dir, "lineitem")
-    # At most one price row per part: dropped from the plan when profit is not used.
-    prices = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.max("p_retailprice").alias("p_retailprice"))
-    return lines.join(prices, "l_partkey", "left").selectExpr(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_tax",
-        "CAST(l_shipdate AS DATE) AS l_shipdate",
-        "l_orderkey AS order_id",
-        "l_partkey AS product_id",
-        _amount(f"{_PRICE} * (100 - {_RATE})", "sales"),
-        "CAST(l_quantity AS INT) AS quantity",
-        _amount(f"{_RATE} * 100", "discount"),
-        _amount(f"{_PRICE} * (100 - {_RATE}) - {_COST}", "profit"),
-        _amount(f"{_PRICE} * {_TAX}", "shipping_cost"),
-    )
+    return table(spark, sf_dir, "lineitem").join(prices(spark, sf_dir, "l_partkey"), "l_partkey", "left").selectExpr(*SALE_COLUMNS)
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
