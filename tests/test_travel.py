@@ -50,3 +50,13 @@ def test_queries_store_only_their_columns(spark, monkeypatch):
         registry.QUERIES[name](spark, SF_DIR)
     numbered = [columns for columns in stored if "_seq" in columns]
     assert len(numbered) == 5 and all("market" not in columns and "l_tax" not in columns for columns in numbered)
+
+
+def test_upload_is_written_compressed(spark, tmp_path):
+    """The parts of the untidy upload are as wide as text gets: they are stored as gzip, one task each, and read back whole."""
+    from tillmart.sources.flat_file import read_flat_csv, write_csv
+
+    rows = spark.createDataFrame([("1", " a ", None), ("2", 'b,"c"', "x")], "one string, two string, three string")
+    write_csv(rows, f"{tmp_path}/up", "gzip")
+    assert list(tmp_path.glob("up/part-*.csv.gz")) and not list(tmp_path.glob("up/part-*.csv"))
+    assert sorted(map(tuple, read_flat_csv(spark, f"{tmp_path}/up").select("one", "two").collect())) == [("1", " a "), ("2", 'b,"c"')]

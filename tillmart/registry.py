@@ -173,7 +173,7 @@ def table_presence(spark, sf_dir):
 @query
 def read_flat_csv_rows(spark, sf_dir):
     path = scratch_path(spark, "upload")
-    write_csv(sample_uploads.untidy_upload(sample_uploads.flat_lines(spark, sf_dir)), path)
+    write_csv(sample_uploads.untidy_upload(sample_uploads.flat_lines(spark, sf_dir)), path, "gzip")
     rows = read_flat_csv(spark, path)
     names = {"Order No": "order_no", "Buyer": "buyer", "Item ID": "item_id", "ZIP": "zip", "Product Category": "category", "Sales Rep": "rep"}
     return rows.select(*[F.col(f"`{header}`").alias(name) for header, name in names.items()])

@@ -113,7 +113,7 @@ def preview(rows: DataFrame, limit: int = 10) -> DataFrame:
     return rows.drop("_beyond", "_file", "_block", "_seq").limit(limit)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV part files with header. Spaces around values are kept."""
+def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
+    """A folder of CSV part files with header. Spaces around values are kept. A part compressed as gzip is read by one task."""
     keep_space = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    rows.write.mode("overwrite").options(header="true", escape='"', **keep_space).csv(path)
+    rows.write.mode("overwrite").options(header="true", escape='"', compression=compression, **keep_space).csv(path)
