@@ -60,3 +60,26 @@ def test_upload_is_written_compressed(spark, tmp_path):
     write_csv(rows, f"{tmp_path}/up", "gzip")
     assert list(tmp_path.glob("up/part-*.csv.gz")) and not list(tmp_path.glob("up/part-*.csv"))
     assert sorted(map(tuple, read_flat_csv(spark, f"{tmp_path}/up").select("one", "two").collect())) == [("1", " a "), ("2", 'b,"c"')]
+
+
+def test_numbered_lines_travel_as_in_the_tables(spark, monkeypatch):
+    """Ids become text and amounts decimals when the numbered lines are read: neither is stored with them."""
+    stored = []
+    inner = numbering.stage
+    monkeypatch.setattr(numbering, "stage", lambda rows, name: stored.append(set(rows.columns)) or inner(rows, name))
+    for name in ("first_customers", "first_products", "generated_ids", "generated_order_ids", "fact_order_items", "merge_order_items"):
+        registry.QUERIES[name](spark, SF_DIR)
+    numbered = [columns for columns in stored if "_seq" in columns]
+    assert len(numbered) == 7
+    assert not any({"order_id", "product_id", "sales", "profit", "discount", "quantity"} & columns for columns in numbered)
+
+
+def test_derived_columns_keep_their_values(spark):
+    """Numbered lines hold what the flat ones do, in their order."""
+    flat = sample_uploads.flat_lines(spark, SF_DIR)
+    names = [name for name in flat.columns if name != "line_pos"]
+    numbered = sample_uploads.numbered_lines(sample_uploads.joined_lines(spark, SF_DIR), keep=names)
+    rows = numbered.orderBy("row_id").collect()
+    assert numbered.schema[names.index("sales")] == flat.schema["sales"] and [row.row_id for row in rows] == list(range(1, len(rows) + 1))
+    expected = flat.orderBy(*sample_uploads.LINE_ORDER).select(*names).collect()
+    assert [tuple(row)[:-1] for row in rows] == [tuple(row) for row in expected]

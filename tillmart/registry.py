@@ -274,7 +274,7 @@ def text_defaults(spark, sf_dir):
 
 def _numbered_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = [*CANONICAL_COLUMNS, *sample_uploads.UPLOAD_KEYS]
-    lines = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), "row_no", keep)
+    lines = sample_uploads.numbered_lines(sample_uploads.joined_lines(spark, sf_dir), "row_no", keep)
     return sample_uploads.untidy_upload(lines, "row_no")
 
 
@@ -282,7 +282,7 @@ def _numbered_columns(spark: SparkSession, sf_dir: str, *names: str) -> DataFram
     """Some canonical columns of the upload, each written as in the whole one; no other column is numbered with them."""
     columns = sample_uploads.untidy_columns()
     keep = [*names, *sample_uploads.UPLOAD_KEYS]
-    lines = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), "row_no", keep)
+    lines = sample_uploads.numbered_lines(sample_uploads.joined_lines(spark, sf_dir), "row_no", keep)
     return lines.select(*[columns[name].alias(header) for header, name in sample_uploads.UPLOAD_HEADER if name in names], "row_no")
 
 
@@ -347,7 +347,7 @@ def dim_orders(spark, sf_dir):
 @query
 def fact_order_items(spark, sf_dir):
     keep = ("order_id", "product_id", "sales", "quantity", "discount", "profit", "l_orderkey")
-    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), keep=keep)
+    rows = sample_uploads.numbered_lines(sample_uploads.joined_lines(spark, sf_dir), keep=keep)
     return normalise.order_items(rows.withColumn("order_id", F.when(F.col("l_orderkey") % 20 != 0, F.col("order_id"))))
 
 
@@ -394,7 +394,7 @@ def merge_products(spark, sf_dir):
 
 def _named_by_line(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Numbered lines of an upload in which the same customer or product is named otherwise on each line."""
-    rows = sample_uploads.numbered_lines(sample_uploads.flat_lines(spark, sf_dir), keep=(name, *columns, "l_suppkey", "l_linenumber"))
+    rows = sample_uploads.numbered_lines(sample_uploads.joined_lines(spark, sf_dir), keep=(name, *columns, "l_suppkey", "l_linenumber"))
     seller = F.concat(F.lit(" / "), F.col("l_suppkey").cast("string"), F.lit(" / "), F.col("l_linenumber").cast("string"))
     return rows.withColumn(name, F.concat(name, seller))
 
@@ -445,16 +445,16 @@ def merge_orders(spark, sf_dir):
 
 @query
 def merge_order_items(spark, sf_dir):
-    rows, keep = sample_uploads.flat_lines(spark, sf_dir), ("order_id", "product_id", "sales", "quantity", "discount", "profit")
+    rows, keep = sample_uploads.joined_lines(spark, sf_dir), ("order_id", "product_id", "sales", "quantity", "discount", "profit")
     stored = normalise.order_items(sample_uploads.numbered_lines(rows.where("l_orderkey % 10 <> 0"), keep=keep))
-    batch = sample_uploads.numbered_lines(rows.where("l_orderkey % 10 = 0").withColumn("quantity", F.col("quantity") + 0.75), keep=keep)
-    return merge.new_order_items(batch, stored)
+    batch = sample_uploads.numbered_lines(rows.where("l_orderkey % 10 = 0"), keep=keep)
+    return merge.new_order_items(batch.withColumn("quantity", F.col("quantity") + 0.75), stored)
 
 
 @query
 def whole_merge(spark, sf_dir):
     """A store of nine tenths of the orders, then a batch of all lines merged and committed: what the store holds then."""
-    lines = sample_uploads.flat_lines(spark, sf_dir)
+    lines = sample_uploads.joined_lines(spark, sf_dir)
     store = StarStore(spark, scratch_path(spark, "store"))
     empty = store.star()
     with staging_scope(spark):

@@ -35,22 +35,23 @@ _TAX = "CAST(rint(l_tax * 100) AS BIGINT)"
 _COST = "CAST(l_quantity AS INT) * CAST(rint(p_retailprice * 100) AS BIGINT) * 100"
 
 
-def _amount(ten_thousandths: str, name: str) -> str:
-    return f"CAST(CAST({ten_thousandths} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS {name}"
+def _amount(ten_thousandths: str) -> str:
+    return f"CAST(CAST({ten_thousandths} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4))"
 
 
 # The columns of a sale line, from a line item and the price of its part.
-SALE_COLUMNS = (
-    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_tax",
-    "CAST(l_shipdate AS DATE) AS l_shipdate",
-    "l_orderkey AS order_id",
-    "l_partkey AS product_id",
-    _amount(f"{_PRICE} * (100 - {_RATE})", "sales"),
-    "CAST(l_quantity AS INT) AS quantity",
-    _amount(f"{_RATE} * 100", "discount"),
-    _amount(f"{_PRICE} * (100 - {_RATE}) - {_COST}", "profit"),
-    _amount(f"{_PRICE} * {_TAX}", "shipping_cost"),
-)
+SALE_COLUMNS = {
+    **{name: name for name in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity",
+                               "l_extendedprice", "l_tax")},
+    "l_shipdate": "CAST(l_shipdate AS DATE)",
+    "order_id": "l_orderkey",
+    "product_id": "l_partkey",
+    "sales": _amount(f"{_PRICE} * (100 - {_RATE})"),
+    "quantity": "CAST(l_quantity AS INT)",
+    "discount": _amount(f"{_RATE} * 100"),
+    "profit": _amount(f"{_PRICE} * (100 - {_RATE}) - {_COST}"),
+    "shipping_cost": _amount(f"{_PRICE} * {_TAX}"),
+}
 
 
 def prices(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -60,7 +61,9 @@ def prices(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with exact sales, shipping cost and profit."""
-    return table(spark, sf_dir, "lineitem").join(prices(spark, sf_dir, "l_partkey"), "l_partkey", "left").selectExpr(*SALE_COLUMNS)
+    return table(spark, sf_dir, "lineitem").join(prices(spark, sf_dir, "l_partkey"), "l_partkey", "left").selectExpr(
+        *[f"{expression} AS {name}" for name, expression in SALE_COLUMNS.items()]
+    )
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
