@@ -154,3 +154,20 @@ def test_filters_name_every_commit_that_holds_a_key(spark):
     held = {(row.check, row.key, row.commit_key) for row in keys.join(asked, ["check", "key"]).collect()}
     assert held <= pairs and len(held) == 14 and len(pairs - held) < 100
     assert filters.where("length(bits) <> 4096").isEmpty()
+
+
+def test_an_update_reads_no_files_of_earlier_commits(store, monkeypatch):
+    """The staged keys of the new commits prune the folders that are scanned; distinct held keys are made once."""
+    ledger = IntegrityLedger(store)
+    commit(store, 1, ["a"], ["p"], [("o", "a")], [("o", "p", 1, 1)])
+    ledger.update()
+    commit(store, 2, ["b"], ["q"], [("u", "a")], [("u", "q", 1, 1)])
+    staged, read = [], []
+    inner, written = integrity_ledger.stage, store.written
+    monkeypatch.setattr(integrity_ledger, "stage", lambda rows, name: staged.append(name) or inner(rows, name))
+    monkeypatch.setattr(store, "written", lambda name, keys: read.append(written(name, keys)) or read[-1])
+    ledger.update()
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in read]
+    pruned = {name: "dynamicpruning" in plan for name, plan in zip(STAR_SCHEMAS, plans)}
+    assert all(pruned[name] for name in ("customers", "products", "orders", "order_items"))  # no locations are stored
+    assert staged.count("held-keys") == 1

@@ -109,7 +109,9 @@ class IntegrityLedger:
             rows[parent].select(COMMIT, F.lit(check).alias("check"), F.col(key).alias("key")).where("key IS NOT NULL")
             for check, (_, _, _, key, parent) in ORPHAN_CHECKS.items()
         ]
-        self._write(build_filters(reduce(DataFrame.unionByName, held).distinct(), self.bits_per_key, few), "filters", number)
+        # Staged, as the sizes of the filters and their marks both read them: else the keys are made distinct twice.
+        keys = stage(reduce(DataFrame.unionByName, held).distinct(), "held-keys")
+        self._write(build_filters(keys, self.bits_per_key, few), "filters", number)
 
     @staticmethod
     def _per_key(rows: dict[str, DataFrame], opened: DataFrame) -> DataFrame:

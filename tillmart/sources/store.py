@@ -92,8 +92,11 @@ class StarStore:
         return self._current_log().select(COMMIT).distinct()
 
     def written(self, name: str, keys: DataFrame) -> DataFrame:
-        """Rows of the commits, with their key. The keys also prune the partitions that are read."""
-        return self._read(name, _with_commit(STAR_SCHEMAS[name])).join(keys, COMMIT, "left_semi")
+        """Rows of the commits, with their key. The keys also prune the partitions that are read.
+
+        Spark prunes by a broadcast table only where a comparison stands on it, so staged keys get one that all of them pass.
+        """
+        return self._read(name, _with_commit(STAR_SCHEMAS[name])).join(keys.where(F.col(COMMIT) >= ""), COMMIT, "left_semi")
 
     def _committed(self, name: str, keys: DataFrame) -> DataFrame:
         return self.written(name, keys).drop(COMMIT)
