@@ -321,7 +321,7 @@ def dim_customers(spark, sf_dir):
 
 @query
 def dim_products(spark, sf_dir):
-    return normalise.products(_ordered(spark, sf_dir, *NAMES_ORDER))
+    return normalise.products(sample_uploads.first_product_lines(spark, sf_dir))
 
 
 @query
@@ -389,7 +389,7 @@ def merge_customers(spark, sf_dir):
 
 @query
 def merge_products(spark, sf_dir):
-    return merge.new_products(_ordered(spark, sf_dir, *NAMES_ORDER), _stored(sample_tables.products(spark, sf_dir), "product_id"))
+    return merge.new_products(sample_uploads.first_product_lines(spark, sf_dir), _stored(sample_tables.products(spark, sf_dir), "product_id"))
 
 
 def _named_by_line(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
