@@ -306,17 +306,13 @@ def clean_batch(spark, sf_dir):
 # --- normalising ---------------------------------------------------------------------
 
 
-def _ordered(spark: SparkSession, sf_dir: str, *order: str) -> DataFrame:
-    return sample_uploads.in_line_order(sample_uploads.flat_lines(spark, sf_dir), *order)
-
-
-# Lines that tie on these are of one customer and one product: which of them is first makes no difference to either.
-NAMES_ORDER = ("l_orderkey", "l_linenumber", "l_partkey")
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_uploads.in_line_order(sample_uploads.flat_lines(spark, sf_dir))
 
 
 @query
 def dim_customers(spark, sf_dir):
-    return normalise.customers(_ordered(spark, sf_dir, *NAMES_ORDER))
+    return normalise.customers(sample_uploads.first_customer_lines(spark, sf_dir))
 
 
 @query
@@ -384,7 +380,7 @@ def _stored(rows: DataFrame, key: str) -> DataFrame:
 
 @query
 def merge_customers(spark, sf_dir):
-    return merge.new_customers(_ordered(spark, sf_dir, *NAMES_ORDER), _stored(sample_tables.customers(spark, sf_dir), "customer_id"))
+    return merge.new_customers(sample_uploads.first_customer_lines(spark, sf_dir), _stored(sample_tables.customers(spark, sf_dir), "customer_id"))
 
 
 @query

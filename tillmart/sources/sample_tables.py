@@ -86,6 +86,11 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def homes(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """At most one nation per customer."""
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias(key)).agg(F.max("c_nationkey").alias("c_nationkey"))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the customer's nation as location.
 
@@ -93,11 +98,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from any query that does not use its columns.
     """
     heads = table(spark, sf_dir, "orders")
-    homes = table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("o_custkey")).agg(F.max("c_nationkey").alias("c_nationkey"))
     shipped = sale_lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.min("l_shipdate").alias("first_ship_date"), F.sum("shipping_cost").alias("shipping_cost")
     )
-    return heads.join(homes, "o_custkey", "left").join(shipped, "o_orderkey", "left").selectExpr(
+    return heads.join(homes(spark, sf_dir, "o_custkey"), "o_custkey", "left").join(shipped, "o_orderkey", "left").selectExpr(
         "o_orderkey AS order_id",
         "CAST(o_orderdate AS DATE) AS order_date",
         "coalesce(first_ship_date, CAST(o_orderdate AS DATE)) AS ship_date",
