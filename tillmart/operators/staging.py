@@ -32,10 +32,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tillmart-{name}-{uuid.uuid4().hex}"
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def releasing_shuffles(spark: SparkSession):
+    """What a write inside the block shuffles is deleted when the write ends, not when the driver next collects its garbage.
+
+    The rows that were written are read back from where they lie, so nobody needs the shuffled ones
+    again. A frame run twice shuffles anew.
+    """
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+
+
 def stage(rows: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write the rows once and read them back. A table that outlives the innermost scope belongs to the scope around it."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.mode("error").parquet(path)
+    with releasing_shuffles(rows.sparkSession):
+        rows.write.mode("error").parquet(path)
     _created(path, outlive)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

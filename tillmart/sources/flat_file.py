@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillmart.functions.text import null_if_token
+from tillmart.operators.staging import releasing_shuffles
 from tillmart.sources.quoted import files_with_open_quotes, read_records
 
 ENCODING = "ISO-8859-1"
@@ -116,4 +117,5 @@ def preview(rows: DataFrame, limit: int = 10) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
     """A folder of CSV part files with header. Spaces around values are kept. A part compressed as gzip is read by one task."""
     keep_space = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    rows.write.mode("overwrite").options(header="true", escape='"', compression=compression, **keep_space).csv(path)
+    with releasing_shuffles(rows.sparkSession):
+        rows.write.mode("overwrite").options(header="true", escape='"', compression=compression, **keep_space).csv(path)

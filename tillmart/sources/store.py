@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tillmart.operators.staging import remove_path
+from tillmart.operators.staging import releasing_shuffles, remove_path
 from tillmart.plans.star import Star
 from tillmart.schemas import INGESTION_LOG, STAR_SCHEMAS
 from tillmart.sources.flat_file import write_csv
@@ -115,7 +115,8 @@ class StarStore:
     def _append(self, rows: DataFrame, table: str, schema, commit_key: str) -> None:
         typed = rows.select(*[F.col(column.name).cast(column.dataType).alias(column.name) for column in schema])
         writer = typed.withColumn(COMMIT, F.lit(commit_key)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy(COMMIT).parquet(f"{self.path}/{table}")
+        with releasing_shuffles(self.spark):
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy(COMMIT).parquet(f"{self.path}/{table}")
 
     def discard(self, commit_key: str) -> None:
         """Remove what an earlier, unfinished attempt left under the key.
