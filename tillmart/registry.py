@@ -351,7 +351,7 @@ def fact_order_items(spark, sf_dir):
 def bulk_load(spark, sf_dir):
     """The whole first load, from CSV files to stored tables: rows and sums per table."""
     folder = scratch_path(spark, "bulk")
-    write_csv(sample_uploads.flat_lines(spark, sf_dir).select(*CANONICAL_COLUMNS), f"{folder}/upload")
+    write_csv(sample_uploads.flat_lines(spark, sf_dir).select(*CANONICAL_COLUMNS), f"{folder}/upload", "gzip")
     store = StarStore(spark, f"{folder}/store")
     intake.bulk_load(store, f"{folder}/upload", AS_OF)
     return _contents(store)
