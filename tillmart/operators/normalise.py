@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillmart.operators.numbering import number_rows
+from tillmart.operators.staging import stage
 from tillmart.plans.star import Star
 from tillmart.schemas import LOCATION_KEY
 
+# Up to this many first rows their numbers and keys are broadcast.
+BROADCAST_FIRST = 1_000_000
+
 ORDER_COLUMNS = ("order_date", "ship_date", "ship_mode", "customer_id")
 
 
@@ -27,13 +31,16 @@ def first_rows(flat: DataFrame, key: str, *columns: str, among: Callable[[DataFr
 
     Where ``row_id`` is a number, which is the same whenever the rows are read, only the number of
     each key's first row is aggregated (by hash, as it has a fixed width), and the values are fetched
-    for the numbers that are left. A composite ``row_id`` may not be stable; its rows are read once.
+    for the numbers that are left. These are staged and counted: while they are few the rows are not
+    shuffled to fetch them. A composite ``row_id`` may not be stable; its rows are read once.
     """
     if not isinstance(flat.schema["row_id"].dataType, T.LongType):
         first = F.min_by(F.struct(*columns), "row_id").alias("first")
         return among(flat.groupBy(key).agg(first)).select(key, "first.*")
     numbers = among(flat.groupBy(key).agg(F.min("row_id").alias("row_id")))
-    wanted = numbers.select(F.col(key).alias("_key"), F.col("row_id").alias("_row"))
+    wanted = stage(numbers.select(F.col(key).alias("_key"), F.col("row_id").alias("_row")), "first-rows")
+    if wanted.count() <= BROADCAST_FIRST:
+        wanted = F.broadcast(wanted)
     rows = flat.select(key, "row_id", *columns)
     return rows.join(wanted, (rows["row_id"] == wanted["_row"]) & rows[key].eqNullSafe(wanted["_key"])).select(key, *columns)
 
