@@ -17,7 +17,7 @@ from tillmart.schemas import LOCATION_KEY
 
 FALLBACK_LOCATION = 1
 
-# A batch has at most as many keys as rows; up to this many rows its keys are broadcast.
+# A batch has at most as many keys as rows; up to this many rows its keys are broadcast. So are new keys up to this many.
 BROADCAST_ROWS = 1_000_000
 
 # Up to this many new places are numbered by one task.
@@ -41,16 +41,29 @@ def not_stored(candidates: DataFrame, stored: DataFrame, key: str, batch_rows: i
     return candidates.join(hits, key, "left_anti")
 
 
+def _new_firsts(firsts: DataFrame, stored: DataFrame, key: str, batch_rows: int | None) -> DataFrame:
+    """The first rows of keys not stored yet.
+
+    Where the batch may be large, their numbers are staged and counted: while they are few they are sent
+    to the batch, and its rows are not shuffled to fetch the values.
+    """
+    new = not_stored(firsts, stored, key, batch_rows)
+    if "row_id" not in new.columns or (batch_rows is not None and batch_rows <= BROADCAST_ROWS):
+        return new
+    new = stage(new, "first-rows")
+    return F.broadcast(new) if new.count() <= BROADCAST_ROWS else new
+
+
 def highest(table: DataFrame, column: str) -> int:
     return table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
 def new_customers(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    return normalise.customers(batch, lambda keys: not_stored(keys, stored, "customer_id", batch_rows))
+    return normalise.customers(batch, lambda keys: _new_firsts(keys, stored, "customer_id", batch_rows))
 
 
 def new_products(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    return normalise.products(batch, lambda keys: not_stored(keys, stored, "product_id", batch_rows))
+    return normalise.products(batch, lambda keys: _new_firsts(keys, stored, "product_id", batch_rows))
 
 
 def place_ids(batch: DataFrame, stored: DataFrame, batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
